@@ -6,7 +6,9 @@ each length matters: a linear program over patterns (sets of lengths that fit a
 sequence) covers the histogram with the fewest sequences. New patterns come
 from a knapsack dynamic program priced by the program's dual values. The
 solution is rounded, what is left over is packed by best fit, and each pattern's
-slots are then handed to the documents by their rank within their length.
+slots are then handed to the documents by their rank within their length. Where
+the lengths at hand leave larger gaps, the emptiest sequences are taken apart
+again and their rests are cut to fill the gaps of the others.
 
 The histogram has at most ``size`` numbers and the slots at most some thousands
 of ranges, whatever the corpus, so both may lie on the driver; ranks come from a
@@ -33,6 +35,10 @@ END = 0
 GAP, ROUNDS = 0.002, 200
 #: Words that a worker remembers the ids of.
 REMEMBERED = 300_000
+#: Gaps below this stay padding: filling them would cut documents into crumbs.
+SMALLEST_GAP = 32
+#: Tokens of gap in a bucket of the join that lays cut rests over gaps.
+STRETCH = 65_536
 
 _ODD_SPACES = re.compile(r"\s (?:\s|$)")
 
@@ -84,7 +90,11 @@ class Encoder:
 
 
 def pieces(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SIZE, path: str | None = None) -> DataFrame:
-    """Rows (id, start, length, ids_crc32, doc_tokens): each text's ids, then id 0, cut into full sequences and a rest."""
+    """Each text's ids, then id 0, cut into full sequences and a rest.
+
+    Rows (id, start, length, ids_crc32, doc_tokens, ids); ``ids``, little-endian
+    unsigned 32-bit, is there for rests only, which may be cut further.
+    """
     path = path or vocabulary()
 
     def cut_up(batches):
@@ -94,11 +104,14 @@ def pieces(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int =
             for key, t in zip(batch["id"], batch["text"]):
                 data = encoder.encode(t) + b"\0\0\0\0"
                 total = len(data) // 4
-                rows += [(key, s, min(size, total - s), zlib.crc32(data[4 * s : 4 * (s + size)]), total) for s in range(0, total, size)]
-            keys, starts, lengths, crcs, totals = zip(*rows) if rows else ((),) * 5
-            yield pd.DataFrame({"id": pd.array(keys, dtype="Int64"), "start": starts, "length": lengths, "ids_crc32": crcs, "doc_tokens": totals})
-
-    schema = "id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
+                for s in range(0, total, size):
+                    part = data[4 * s : 4 * (s + size)]
+                    rows.append((key, s, len(part) // 4, zlib.crc32(part), total, part if len(part) < 4 * size else None))
+            keys, starts, lengths, crcs, totals, ids = zip(*rows) if rows else ((),) * 6
+            keys = pd.array([None if pd.isna(k) else int(k) for k in keys], dtype="Int64")
+            yield pd.DataFrame({"id": keys, "start": starts, "length": lengths, "ids_crc32": crcs, "doc_tokens": totals, "ids": ids})
+
+    schema = "id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, ids binary"
     return docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInPandas(cut_up, schema)
 
 
@@ -174,41 +187,70 @@ def column_generation(lengths: np.ndarray, demand: np.ndarray, size: int, pool:
     return [patterns[b] for b in basis], np.maximum(x, 0.0)
 
 
-def plan(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, int, int, int, int, int]]:
-    """Slots for the rests: (length, first rank, end rank, first sequence, per sequence, offset).
+def plan(histogram: dict[int, int], size: int = SIZE) -> tuple[list[tuple], list[tuple], int]:
+    """(slots, gaps, sequences) for the rests.
 
-    Ranks of a length count from 0 and are covered without gaps. Rank ``r`` of a
-    slot lies in sequence ``first + (r - lo) // per``, at ``offset + (r - lo) % per * length``.
+    A slot is (length, first rank, end rank, first sequence, per sequence,
+    offset): rank ``r`` lies in sequence ``first + (r - lo) // per`` at ``offset +
+    (r - lo) % per * length``. With ``per`` 0 the ranks are cut over the gaps:
+    rank ``r`` covers ``first + (r - lo) * length`` onward of all gap tokens in
+    line. A gap is (place in that line, sequences, first sequence, offset, size).
+    Ranks of a length count from 0 and are covered without holes.
     """
     lengths = np.array(sorted(k for k, n in histogram.items() if n > 0), dtype=np.int64)
     if not len(lengths):
-        return []
+        return [], [], 0
     left = np.array([histogram[int(k)] for k in lengths], dtype=np.int64)
-    used = np.zeros_like(left)
+    placed: list[tuple[np.ndarray, int]] = []
     pool = [p for p, _ in best_fit(lengths, left, size)]
     patterns, x = column_generation(lengths, left.astype(float), size, pool)
-    slots, sequence = [], 0
-
-    def place(pattern: np.ndarray, times: int) -> None:
-        nonlocal sequence
+    for k in np.argsort(-x, kind="stable"):
+        pattern, used = patterns[k], patterns[k] > 0
+        times = min(int(x[k] + 0.5), int((left[used] // pattern[used]).min()))
+        if times > 0:
+            placed.append((pattern, times))
+            left -= times * pattern
+    placed += best_fit(lengths, left, size)
+    keep, apart = _take_apart(lengths, placed, size)
+    slots, gaps, sequence, place = [], [], 0, 0
+    rank = np.zeros_like(left)
+    for pattern, times in keep:
         offset = 0
         for i in np.flatnonzero(pattern)[::-1]:
             n, per = int(lengths[i]), int(pattern[i])
-            slots.append((n, int(used[i]), int(used[i]) + times * per, sequence, per, offset))
-            used[i] += times * per
-            left[i] -= times * per
+            slots.append((n, int(rank[i]), int(rank[i]) + times * per, sequence, per, offset))
+            rank[i] += times * per
             offset += n * per
+        if size - offset >= SMALLEST_GAP:
+            gaps.append((place, times, sequence, offset, size - offset))
+            place += times * (size - offset)
         sequence += times
-
-    for k in np.argsort(-x, kind="stable"):
-        pattern, times = patterns[k], int(x[k] + 0.5)
-        fits = pattern > 0
-        times = min(times, int((left[fits] // pattern[fits]).min())) if fits.any() else 0
-        if times > 0:
-            place(pattern, times)
-    for pattern, times in best_fit(lengths, left, size):
-        place(pattern, times)
-    return slots
+    place = 0
+    for i in np.flatnonzero(apart)[::-1]:
+        n, many = int(lengths[i]), int(apart[i])
+        slots.append((n, int(rank[i]), int(rank[i]) + many, place, 0, 0))
+        place += n * many
+    return slots, gaps, sequence
+
+
+def _take_apart(lengths: np.ndarray, placed: list[tuple[np.ndarray, int]], size: int) -> tuple[list[tuple[np.ndarray, int]], np.ndarray]:
+    """Patterns to keep, widest gap first, and how many rests of each length are cut over their gaps."""
+    order = sorted(placed, key=lambda p: int(lengths @ p[0]))
+    fill = [int(lengths @ p) for p, _ in order]
+    room = [size - f if size - f >= SMALLEST_GAP else 0 for f in fill]
+    free = sum(r * t for r, (_, t) in zip(room, order))
+    apart, loose, keep = np.zeros(len(lengths), dtype=np.int64), 0, []
+    for (pattern, times), f, r in zip(order, fill, room):
+        # One more sequence apart needs f tokens of gap and takes its own r away.
+        many = max(0, min(times, (free - loose) // (f + r)))
+        if keep:
+            many = 0
+        apart += many * pattern
+        loose += many * f
+        free -= many * r
+        if many < times:
+            keep.append((pattern, times - many))
+    return keep, apart
 
 
 def best_fit(lengths: np.ndarray, left: np.ndarray, size: int) -> list[tuple[np.ndarray, int]]:
@@ -266,32 +308,65 @@ def pack_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", size
     alone. Repeated rows are packed as often as they are there; ties in rank are
     broken by the pieces' own values, so equal pieces may swap places.
     """
+    spark = docs.sparkSession
     made = cut(pieces(docs, id, text, size, path), "pieces")
     # Salt: about 50,000 pieces a bucket, whatever the length they share.
     buckets = int(made.count() // 50_000) + 1
-    salted = lambda df: df.withColumn("_b", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(buckets)).cast("int"))
-    counts = cut(salted(made).groupBy("length", "_b").agg(F.count("*").alias("n")), "counts")
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    firsts = counts.withColumn("_first", before).drop("n")
-    rank = F.row_number().over(Window.partitionBy("length", "_b").orderBy("id", "start", "doc_tokens", "ids_crc32")) - 1
-    ranked = salted(made).withColumn("_r", rank).join(firsts, ["length", "_b"]).withColumn("_r", F.col("_r") + F.col("_first"))
+    salted = made.withColumn("_b", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(buckets)).cast("int"))
+    counts = cut(salted.groupBy("length", "_b").agg(F.count("*").alias("n")), "counts")
     totals = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     n_full = totals.pop(size, 0)
-    slots = plan(totals, size)
-    by_length: dict[int, list] = {}
+    slots, gaps, _ = plan(totals, size)
+    by_length: dict[int, list] = {size: [(0, n_full, 0, 1, 0)]}
     for n, lo, hi, first, per, offset in slots:
-        by_length.setdefault(n, []).append((lo, hi, first + n_full, per, offset))
-    by_length[size] = [(0, n_full, 0, 1, 0)]
+        by_length.setdefault(n, []).append((lo, hi, first + n_full if per else first, per, offset))
     # At most ``size`` rows: bounded, whatever the corpus.
-    held = docs.sparkSession.createDataFrame(list(by_length.items()), "length bigint, slots array<struct<lo:bigint,hi:bigint,first:bigint,per:bigint,offset:bigint>>")
-    placed = ranked.join(F.broadcast(held), "length").withColumn("_s", F.filter("slots", lambda s: (s.lo <= F.col("_r")) & (F.col("_r") < s.hi))[0])
-    along = F.col("_r") - F.col("_s.lo")
-    return placed.select(
-        F.col("id").alias(id),
+    held = spark.createDataFrame(list(by_length.items()), "length bigint, slots array<struct<lo:bigint,hi:bigint,first:bigint,per:bigint,offset:bigint>>")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    firsts = counts.select("length", "_b", before.alias("_first"))
+    rank = F.row_number().over(Window.partitionBy("length", "_b").orderBy("id", "start", "doc_tokens", "ids_crc32")) - 1
+    ranked = salted.drop("ids").withColumn("_r", rank).join(firsts, ["length", "_b"]).withColumn("_r", F.col("_r") + F.col("_first"))
+    placed = ranked.join(F.broadcast(held), "length").withColumn("_s", F.filter("slots", lambda s: (s.lo <= F.col("_r")) & (F.col("_r") < s.hi))[0]).withColumn("_along", F.col("_r") - F.col("_s.lo"))
+    whole = placed.where("_s.per > 0").select(
+        "id",
         "start",
         "length",
         "ids_crc32",
         "doc_tokens",
-        (F.col("_s.first") + F.floor(along / F.col("_s.per"))).cast("long").alias("sequence_id"),
-        (F.col("_s.offset") + F.pmod(along, F.col("_s.per")) * F.col("length")).cast("long").alias("offset"),
+        (F.col("_s.first") + F.floor(F.col("_along") / F.col("_s.per"))).cast("long").alias("sequence_id"),
+        (F.col("_s.offset") + F.pmod(F.col("_along"), F.col("_s.per")) * F.col("length")).cast("long").alias("offset"),
+    )
+    if not gaps:
+        return whole.withColumnRenamed("id", id)
+    return whole.unionByName(_laid(placed, made, [(p, t, f + n_full, o, g) for p, t, f, o, g in gaps])).withColumnRenamed("id", id)
+
+
+def _laid(placed: DataFrame, made: DataFrame, gaps: list[tuple]) -> DataFrame:
+    """The rests that are cut over gaps, a row for each part."""
+    # Equal rests differ in nothing, so any of them may take any place of theirs. A struct joins nulls too.
+    key = F.struct("id", "start", "doc_tokens", "ids_crc32").alias("key")
+    loose = placed.where("_s.per = 0").select(key, "length", (F.col("_s.first") + F.col("_along") * F.col("length")).alias("p"))
+    wanted = loose.select("key").distinct()
+    ids = made.where("ids is not null").select(key, "ids").join(wanted, "key", "left_semi").groupBy("key").agg(F.first("ids").alias("ids"))
+    loose = loose.join(ids, "key").select("key.id", "key.start", "key.doc_tokens", "length", "p", "ids")
+    space = placed.sparkSession.createDataFrame(gaps, "g bigint, times bigint, first bigint, offset bigint, size bigint")
+    space = space.withColumn("w", F.explode(F.sequence(F.floor(F.col("g") / STRETCH), F.floor((F.col("g") + F.col("times") * F.col("size") - 1) / STRETCH))))
+    loose = loose.withColumn("w", F.explode(F.sequence(F.floor(F.col("p") / STRETCH), F.floor((F.col("p") + F.col("length") - 1) / STRETCH))))
+    both = loose.join(space, "w")
+    lo = F.greatest(F.col("p"), F.col("g"), F.col("w") * STRETCH)
+    hi = F.least(F.col("p") + F.col("length"), F.col("g") + F.col("times") * F.col("size"), (F.col("w") + 1) * STRETCH)
+    both = both.withColumn("lo", lo).withColumn("hi", hi).where("lo < hi")
+    both = both.withColumn("j", F.explode(F.sequence(F.floor((F.col("lo") - F.col("g")) / F.col("size")), F.floor((F.col("hi") - 1 - F.col("g")) / F.col("size")))))
+    a = F.greatest(F.col("lo"), F.col("g") + F.col("j") * F.col("size"))
+    b = F.least(F.col("hi"), F.col("g") + (F.col("j") + 1) * F.col("size"))
+    both = both.withColumn("a", a).withColumn("b", b)
+    cut_at, many = (F.col("a") - F.col("p")).cast("int"), (F.col("b") - F.col("a")).cast("int")
+    return both.select(
+        "id",
+        (F.col("start") + F.col("a") - F.col("p")).alias("start"),
+        many.cast("long").alias("length"),
+        F.crc32(F.substring("ids", cut_at * 4 + 1, many * 4)).alias("ids_crc32"),
+        "doc_tokens",
+        (F.col("first") + F.col("j")).cast("long").alias("sequence_id"),
+        (F.col("offset") + F.col("a") - F.col("g") - F.col("j") * F.col("size")).cast("long").alias("offset"),
     )
