@@ -66,15 +66,16 @@ def _scale(size: int) -> tuple[np.ndarray, np.ndarray]:
     return full if size <= 2 * _BLOCK else (_powers(_P, size), _powers(pow(_P, -1, 1 << 64), size))
 
 
-def hash_words(texts, separators: bytes = SPACES, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def hash_words(texts, separators: bytes = SPACES, lower: bool = False, values: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, bounds): an unsigned 64-bit hash per word of the texts, one text after another.
 
     ``bounds[k]:bounds[k + 1]`` are the words of text ``k``. Words lie between
     separator bytes and are compared with A-Z as a-z, or with ``lower`` in Unicode
     lower case. A word's hash does not
-    depend on where it stands. A null text has no words.
+    depend on where it stands. A null text has no words. ``values``, if given, is
+    what each byte counts as instead, 0 for separators.
     """
-    values = kept(f"letters{len(separators)}", lambda: _letters(separators))
+    values = values if values is not None else kept(f"letters{len(separators)}", lambda: _letters(separators))
     parts = [(t.lower() if lower else t).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
     text_ends = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) + 1)
     data = np.frombuffer(b" ".join(parts) + b" ", dtype=np.uint8)
