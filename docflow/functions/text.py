@@ -7,11 +7,12 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ZERO_WIDTH = "[​-‏﻿  ]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     """Composed Unicode form; the one cleaning step without a built-in function."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
@@ -168,7 +169,7 @@ def sentence_spans(text: str) -> list[tuple[int, int]]:
     return out
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def sentences(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [s for a, b in sentence_spans(t or "") if (s := (t[a:b]).strip())])
 

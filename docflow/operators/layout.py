@@ -1,11 +1,43 @@
-"""Layout that folds over a page's rows in order: one page at a time, by grouped functions."""
+"""Layout that folds over a page's rows in order, one page at a time."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame
 
 
+def folded(df: DataFrame, by: str, order: list, columns: list[str], fold: Callable[[list], list[tuple]], schema: str) -> DataFrame:
+    """``fold`` over the rows of each group in order, as named tuples of ``columns``.
+
+    Groups are brought together by one shuffle and sort and then streamed through
+    Arrow batches: a task holds one group at a time, and small groups cost no
+    call of their own.
+    """
+    names = [part.split()[0] for part in schema.split(", ")]
+    rows = df.select(*columns).repartition(by).sortWithinPartitions(by, *order)
+
+    def run(batches):
+        key, held = None, []
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False, name="Row"):
+                own = getattr(row, by)
+                own = None if pd.isna(own) else own
+                if held and own != key:
+                    out += fold(held)
+                    held = []
+                key = own
+                held.append(row)
+            if out:
+                yield pd.DataFrame(out, columns=names)
+        if held:
+            yield pd.DataFrame(fold(held), columns=names)
+
+    return rows.mapInPandas(run, schema)
+
+
 def reading_order(boxes: DataFrame) -> DataFrame:
     """Rows (page, seq, position): XY-cut of boxes (page, seq, x0, y0, x1, y1), y down.
 
@@ -36,19 +68,18 @@ def reading_order(boxes: DataFrame) -> DataFrame:
                 out += sorted(part, key=lambda r: (r[2], r[1], r[0]))
         return out
 
-    def order(page: pd.DataFrame) -> pd.DataFrame:
-        rows = cut(list(page[["seq", "x0", "y0", "x1", "y1"]].itertuples(index=False, name=None)))
-        return pd.DataFrame([(page["page"].iloc[0], r[0], k) for k, r in enumerate(rows)], columns=["page", "seq", "position"])
+    def order(page: list) -> list[tuple]:
+        return [(page[0].page, r[0], k) for k, r in enumerate(cut([tuple(r[1:]) for r in page]))]
 
-    return boxes.groupBy("page").applyInPandas(order, "page bigint, seq bigint, position int")
+    return folded(boxes, "page", ["seq"], ["page", "seq", "x0", "y0", "x1", "y1"], order, "page bigint, seq bigint, position int")
 
 
 def words_from_chars(chars: DataFrame, gap: float = 0.45) -> DataFrame:
     """Rows (page, line, word, text, x0, x1) of characters (page, text, x0, y0, x1, size): rows by baseline, split at spaces and gaps."""
 
-    def build(page: pd.DataFrame) -> pd.DataFrame:
+    def build(page: list) -> list[tuple]:
         lines: list[list] = []
-        for c in page.sort_values(["y0", "x0"], ascending=[False, True], kind="stable").itertuples():
+        for c in sorted(page, key=lambda c: (-c.y0, c.x0)):
             home = next((line for line in lines if abs(line[0].y0 - c.y0) <= 0.5 * c.size), None)
             lines.append([c]) if home is None else home.append(c)
         out = []
@@ -57,47 +88,47 @@ def words_from_chars(chars: DataFrame, gap: float = 0.45) -> DataFrame:
             for c in [*sorted(line, key=lambda c: c.x0), None]:
                 ends = c is None or c.text.isspace() or (last is not None and c.x0 - last.x1 > gap * c.size)
                 if ends and word:
-                    out.append((page["page"].iloc[0], n, k, "".join(w.text for w in word), word[0].x0, word[-1].x1))
+                    out.append((page[0].page, n, k, "".join(w.text for w in word), word[0].x0, word[-1].x1))
                     word, k = [], k + 1
                 if c is not None and not c.text.isspace():
                     word.append(c)
                 last = c
-        return pd.DataFrame(out, columns=["page", "line", "word", "text", "x0", "x1"])
+        return out
 
-    return chars.groupBy("page").applyInPandas(build, "page bigint, line int, word int, text string, x0 double, x1 double")
+    return folded(chars, "page", ["y0", "x0"], ["page", "text", "x0", "y0", "x1", "size"], build, "page bigint, line int, word int, text string, x0 double, x1 double")
 
 
 def merge_fragments(blocks: DataFrame, gap: float = 18.0) -> DataFrame:
     """Rows (page, seq, text, y0, y1): blocks joined while the next begins within ``gap`` of the growing box."""
 
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
+    def fold(page: list) -> list[tuple]:
         out: list[list] = []
-        for r in page.sort_values(["y0", "seq"], kind="stable").itertuples():
+        for r in page:
             if out and r.y0 - out[-1][4] <= gap:
                 out[-1][2] += " " + r.text
                 out[-1][4] = max(out[-1][4], r.y1)
             else:
                 out.append([r.page, r.seq, r.text, r.y0, r.y1])
-        return pd.DataFrame(out, columns=["page", "seq", "text", "y0", "y1"])
+        return [tuple(r) for r in out]
 
-    return blocks.groupBy("page").applyInPandas(fold, "page bigint, seq bigint, text string, y0 double, y1 double")
+    return folded(blocks, "page", ["y0", "seq"], ["page", "seq", "text", "y0", "y1"], fold, "page bigint, seq bigint, text string, y0 double, y1 double")
 
 
 def resolve_collisions(boxes: DataFrame, gap: float = 2.0) -> DataFrame:
     """Rows (page, seq, y0, y1, moved): each box pushed down until it clears the boxes before it in its columns."""
 
-    def push(page: pd.DataFrame) -> pd.DataFrame:
+    def push(page: list) -> list[tuple]:
         done, out = [], []
-        for r in page.sort_values(["y0", "x0", "seq"], kind="stable").itertuples():
+        for r in page:
             y, height = r.y0, r.y1 - r.y0
             for x0, x1, y0, y1 in sorted(done, key=lambda d: d[2]):
                 if x0 < r.x1 and r.x0 < x1 and y < y1 + gap and y0 < y + height + gap:
                     y = y1 + gap
             done.append((r.x0, r.x1, y, y + height))
             out.append((r.page, r.seq, y, y + height, y - r.y0))
-        return pd.DataFrame(out, columns=["page", "seq", "y0", "y1", "moved"])
+        return out
 
-    return boxes.groupBy("page").applyInPandas(push, "page bigint, seq bigint, y0 double, y1 double, moved double")
+    return folded(boxes, "page", ["y0", "x0", "seq"], ["page", "seq", "x0", "y0", "x1", "y1"], push, "page bigint, seq bigint, y0 double, y1 double, moved double")
 
 
 def solve_below(nodes: DataFrame, rounds: int = 120) -> DataFrame:
@@ -106,9 +137,8 @@ def solve_below(nodes: DataFrame, rounds: int = 120) -> DataFrame:
     ``nodes`` has (page, seq, y, height, gap). Constraints are projected in turn until none moves anything.
     """
 
-    def solve(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("seq", kind="stable")
-        y, h, g = page["y"].tolist(), page["height"].tolist(), page["gap"].tolist()
+    def solve(page: list) -> list[tuple]:
+        y, h, g = [r.y for r in page], [r.height for r in page], [r.gap for r in page]
         for _ in range(rounds):
             moved = 0.0
             for k in range(len(y) - 1):
@@ -118,6 +148,6 @@ def solve_below(nodes: DataFrame, rounds: int = 120) -> DataFrame:
                     moved += short
             if moved < 1e-9:
                 break
-        return pd.DataFrame({"page": page["page"], "seq": page["seq"], "y": y})
+        return [(r.page, r.seq, at) for r, at in zip(page, y)]
 
-    return nodes.groupBy("page").applyInPandas(solve, "page bigint, seq bigint, y double")
+    return folded(nodes, "page", ["seq"], ["page", "seq", "y", "height", "gap"], solve, "page bigint, seq bigint, y double")

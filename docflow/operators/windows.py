@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .layout import folded
+
 
 def islands(df: DataFrame, by: list[str], order: list[str], starts: Column, name: str = "island") -> DataFrame:
     """Number the runs of a group: a row for which ``starts`` holds opens a new one, from 0."""
@@ -114,19 +115,18 @@ def outline(entries: DataFrame) -> DataFrame:
     entries at a time.
     """
 
-    def build(rows: pd.DataFrame) -> pd.DataFrame:
+    def build(rows: list) -> list[tuple]:
         out, stack = [], []
-        for r in rows.sort_values("seq", kind="stable").itertuples():
+        for r in rows:
             number = r.number or ""
-            while stack and not ((number.startswith(stack[-1][1] + ".") if stack[-1][1] and "." in number else stack[-1][2] < r.level)):
+            while stack and not (number.startswith(stack[-1][1] + ".") if stack[-1][1] and "." in number else stack[-1][2] < r.level):
                 stack.pop()
-            out.append((r.doc_id, r.seq, number, stack[-1][0] if stack else None, len(stack)))
+            out.append((r.doc_id, r.seq, number, stack[-1][0] if stack else -1, len(stack)))
             stack.append((r.seq, number, r.level))
-        made = pd.DataFrame(out, columns=["doc_id", "seq", "number", "parent", "depth"])
-        made["parent"] = made["parent"].astype("Int64")
-        return made
+        return out
 
-    return entries.groupBy("doc_id").applyInPandas(build, "doc_id bigint, seq bigint, number string, parent bigint, depth int")
+    made = folded(entries, "doc_id", ["seq"], ["doc_id", "seq", "number", "level"], build, "doc_id bigint, seq bigint, number string, parent bigint, depth int")
+    return made.withColumn("parent", F.when(F.col("parent") >= 0, F.col("parent")))
 
 
 def paragraphs(blocks: DataFrame) -> DataFrame:
