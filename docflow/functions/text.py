@@ -35,7 +35,7 @@ def normalized(text: Column) -> Column:
 
 def post_process(text: Column) -> Column:
     """CRLF to LF, trimmed, no space before , . ) or after (."""
-    out = F.trim(F.replace(text, F.lit("\r\n"), F.lit("\n")))
+    out = F.btrim(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit(" \t\n\r"))
     for a, b in ((" ,", ","), (" .", "."), (" )", ")"), ("( ", "(")):
         out = F.replace(out, F.lit(a), F.lit(b))
     return out

@@ -551,7 +551,7 @@ def q_normalize(t, spark):
     return t("documents").select("doc_id", words.entity_key(F.col("source")).alias("key"), words.collapse(F.col("text")).alias("flat"))
 
 
-@query("SELECT doc_id, replace(replace(replace(replace(trim(replace(text, chr(13) || chr(10), chr(10))), ' ,', ','), ' .', '.'), ' )', ')'), '( ', '(') AS text FROM documents")
+@query("SELECT doc_id, replace(replace(replace(replace(trim(replace(text, chr(13) || chr(10), chr(10)), ' ' || chr(9) || chr(10) || chr(13)), ' ,', ','), ' .', '.'), ' )', ')'), '( ', '(') AS text FROM documents")
 def q_post_process(t, spark):
     return t("documents").select("doc_id", words.post_process(F.col("text")).alias("text"))
 

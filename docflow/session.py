@@ -63,6 +63,11 @@ def drop_cut(df: DataFrame) -> None:
         target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Python workers take ``rows`` rows at a time, so that long texts do not fill their memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
