@@ -10,7 +10,7 @@ import numpy as np
 _MASK = (1 << 64) - 1
 _P = 0x9E3779B97F4A7C15 | 1
 #: Bytes hashed at once; longer texts are cut between words.
-_BLOCK = 1 << 20
+_BLOCK = 1 << 19
 
 SPACES = bytes([32, *range(9, 14)])
 PUNCTUATION = bytes(c for c in range(128) if not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122))
@@ -111,7 +111,7 @@ def hash_words(texts, separators: bytes = SPACES, lower: bool = False, values: n
     return h, np.concatenate([[0], np.searchsorted(place, text_ends)])
 
 
-def chunks(texts, chars: int = 1_000_000):
+def chunks(texts, chars: int = 400_000):
     """Consecutive lists of texts with about ``chars`` characters each, the first index before each."""
     part, size, first = [], 0, 0
     for k, t in enumerate(texts):

@@ -34,7 +34,7 @@ END = 0
 #: Relative distance from the bound at which column generation ends, and its most rounds.
 GAP, ROUNDS = 0.002, 200
 #: Words that a worker remembers the ids of.
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 #: Gaps below this stay padding: filling them would cut documents into crumbs.
 SMALLEST_GAP = 32
 #: Tokens of gap in a bucket of the join that lays cut rests over gaps.

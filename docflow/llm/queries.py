@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..session import table
+from ..session import bounded_batches, table
 from . import chat, fixity
 from .decontaminate import contaminated
 from .html_text import extract
@@ -54,8 +54,18 @@ def op10_media_columns(spark, sf_dir):
     return media_digest(table(spark, sf_dir, "documents"))
 
 
+
+
+def _bounded(query):
+    def run(spark, sf_dir):
+        bounded_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES = {
-    f.__name__: f
+    f.__name__: _bounded(f)
     for f in (
         op1_chat_formatting,
         op2_simhash_near_dedup,

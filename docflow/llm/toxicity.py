@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import PUNCTUATION, chunks, hash_words, mix
 
-BITS = 22
+BITS = 21
 #: Bounds of the fitting sample: rows, and characters of a row that may be in it.
 MAX_ROWS, MAX_CHARS = 12_000, 20_000
 
@@ -42,7 +42,7 @@ def presence(texts: list, bits: int = BITS) -> list[np.ndarray]:
     """Sorted distinct features of each text."""
     text, feature = features(texts, bits)
     both = np.unique((text << bits) | feature)
-    return np.split(both & ((1 << bits) - 1), np.searchsorted(both, np.arange(1, len(texts)) << bits)) if len(texts) else []
+    return np.split((both & ((1 << bits) - 1)).astype(np.int32), np.searchsorted(both, np.arange(1, len(texts)) << bits)) if len(texts) else []
 
 
 @dataclass
@@ -58,7 +58,7 @@ class Model:
         """Weight of every feature; 0 for most."""
         full = np.zeros(1 << self.bits, dtype=np.float32)
         full[self.index] = self.weight
-        return full
+        return full  # bounded: one number per feature
 
     def scores(self, texts: list, table: np.ndarray) -> np.ndarray:
         """Probability of label 1 for each whole text; each feature counts once."""
@@ -93,9 +93,9 @@ def ftrl(examples: list[np.ndarray], labels: list[int], bits: int = BITS, alpha:
             n[f] += g * g
             bias_z += g - ((bias_n + g * g) ** 0.5 - bias_n**0.5) / alpha * wb
             bias_n += g * g
-    full = np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
-    index = np.flatnonzero(full)
-    return Model(index, full[index], -bias_z / ((beta + bias_n**0.5) / alpha), bits)
+    index = np.flatnonzero(np.abs(z) > l1)
+    z, n = z[index], n[index]
+    return Model(index, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2), -bias_z / ((beta + bias_n**0.5) / alpha), bits)
 
 
 def held_out(id: Column) -> Column:
