@@ -48,8 +48,9 @@ ENCODINGS = (
 #: Accepted share of false discoveries; p-value bins per length class; length classes (upper bounds).
 FALSE_DISCOVERIES, BINS = 0.01, 400
 LENGTHS = (23, 31, 47, 79, 159, 1 << 31)
-#: Mean excess of chi-squared per character of ordinary text, by alphabet size, and the z beyond which a test is failed.
-EXCESS, OUTRIGHT = {16: 0.7, 32: 0.9, 36: 1.0, 64: 1.6}, 4.0
+#: Mean excess of chi-squared per character of ordinary text, by alphabet size: up to the size times the chance that two
+#: letters of prose agree (0.065), less one. And the z beyond which a test is failed.
+EXCESS, OUTRIGHT = {16: 0.7, 32: 1.0, 36: 1.3, 64: 2.4}, 4.0
 
 
 def located(text: Column, pattern: str, kind: str, keep=None) -> Column:
