@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import classify, geometry
 from .functions import text as words
-from .operators import aggregates, diff, graph_query, joins, knowledge, layout, overlap, traverse, windows
+from .operators import aggregates, annotate, diff, graph_query, joins, knowledge, layout, overlap, traverse, windows
 from .operators.doc_query import DocumentQuery, effective_confidence, find_text, translation_status
 from .plans.dag import incremental_plan
 from .session import table
@@ -788,3 +788,105 @@ def q_reading_order(t, spark):
 @query()
 def q_resolve_collisions(t, spark):
     return layout.resolve_collisions(boxes(t))
+
+
+# ---------------------------------------------------------------- annotations
+
+
+@query(f"""WITH {GEO}, o AS (SELECT src AS id, string_agg(relation || ':' || dst, ',' ORDER BY relation || ':' || dst) AS relations, count(*) AS n FROM edges GROUP BY src)
+SELECT id, node_type, relations, coalesce(n, 0) AS n_relations FROM nodes LEFT JOIN o USING (id) WHERE node_type <> 'customer'""")
+def q_inspect(t, spark):
+    nodes, edges = geo_graph(t)
+    return annotate.inspect(nodes.where("node_type <> 'customer'"), edges).select("id", "node_type", "relations", "n_relations")
+
+
+@query(f"""WITH {BLOCKS} SELECT count(*) FILTER (WHERE trim(text) = '') AS skipped, count(*) FILTER (WHERE trim(text) <> '' AND kind IN ('formula', 'table')) AS preserved,
+count(*) FILTER (WHERE trim(text) <> '' AND kind NOT IN ('formula', 'table', 'toc')) AS translated, count(*) FILTER (WHERE trim(text) <> '' AND kind = 'toc') AS toc_translated FROM blocks""")
+def q_translation_counts(t, spark):
+    return annotate.translation_counts(model.text_blocks(t("documents")))
+
+
+@query(f"""WITH {BLOCKS} SELECT kind, CASE kind WHEN 'heading' THEN 'heading' WHEN 'paragraph' THEN 'body_text' WHEN 'caption' THEN 'caption' WHEN 'formula' THEN 'formula' WHEN 'table' THEN 'table' ELSE 'unknown' END AS semantic,
+CASE WHEN kind IN ('formula', 'table') THEN 'preserve_float' ELSE 'translate_refit' END AS render, count(*) AS n FROM blocks GROUP BY 1, 2, 3""")
+def q_ir_roles(t, spark):
+    b = annotate.ir_roles(model.text_blocks(t("documents"))).withColumn("render", annotate.render_mode(F.col("kind")))
+    return b.groupBy("kind", "semantic", "render").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {LINES} SELECT 'must_below' AS "constraint", 'soft' AS priority, count(*) AS n FROM lines WHERE block_idx > 0 UNION ALL SELECT 'keep_together', 'hard', count(*) FROM lines""")
+def q_constraints(t, spark):
+    _, edges = model.document_graph(model.text_blocks(t("documents")))
+    return annotate.constraints(edges).groupBy("constraint", "priority").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {BOXES}, m AS (SELECT page, CASE WHEN max(x1) OVER w IS NULL OR x0 - max(x1) OVER w > 20 THEN 1 ELSE 0 END AS s FROM boxes WINDOW w AS (PARTITION BY page ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT page, sum(s)::BIGINT AS columns FROM m GROUP BY page""")
+def q_column_count(t, spark):
+    return annotate.column_count(boxes(t))
+
+
+@query("""SELECT event_type AS entity, arg_max('d' || event_id, (value, event_id)) AS definition, max(value) AS confidence, string_agg(DISTINCT 'u' || (user_id % 4), ',' ORDER BY 'u' || (user_id % 4)) AS aliases FROM events GROUP BY event_type""")
+def q_learn(t, spark):
+    facts = t("events").select(F.col("event_type").alias("entity"), F.concat(F.lit("d"), F.col("event_id").cast("string")).alias("definition"), F.col("value").alias("confidence"), F.col("event_id").alias("seq"), F.concat(F.lit("u"), (F.col("user_id") % 4).cast("string")).alias("alias"))
+    return annotate.learn(facts)
+
+
+@query("""SELECT p_partkey AS key, CASE WHEN p_partkey % 2 = 0 THEN p_brand WHEN p_partkey % 3 = 0 THEN p_type END AS value, CASE WHEN p_partkey % 2 = 0 THEN 'memory' WHEN p_partkey % 3 = 0 THEN 'disk' END AS tier FROM part""")
+def q_tiered_lookup(t, spark):
+    p = t("part").withColumnRenamed("p_partkey", "key")
+    tiers = [("memory", p.where("key % 2 = 0").select("key", F.col("p_brand").alias("value"))), ("disk", p.where("key % 3 = 0").select("key", F.col("p_type").alias("value")))]
+    return annotate.tiered_lookup(p, tiers)
+
+
+@query("""SELECT doc_id AS id, m.module AS module, CASE WHEN m.score < m.lim * 0.5 THEN 'critical' ELSE 'major' END AS severity, m.score AS score FROM (SELECT doc_id, unnest([{'module': 'quality', 'score': quality::DOUBLE, 'lim': 0.9}, {'module': 'safety', 'score': 1.0 - 0.6 * toxic, 'lim': 0.7}]) AS m FROM labels) WHERE m.score < m.lim""")
+def q_score_issues(t, spark):
+    scores = t("labels").select(F.col("doc_id").alias("id"), "quality", (F.lit(1.0) - F.lit(0.6) * F.col("toxic")).alias("safety"))
+    return annotate.score_issues(scores, {"quality": 0.9, "safety": 0.7})
+
+
+@query(f"""WITH {BLOCKS} SELECT 'drop' AS action, 4::BIGINT AS rank, count(*) AS n FROM blocks WHERE trim(text) = '' HAVING count(*) > 0 UNION ALL SELECT 'shrink', 2, count(*) FROM blocks WHERE n_chars > 2000 HAVING count(*) > 0
+UNION ALL SELECT 'split_lines', 1, count(*) FROM blocks WHERE (len(regexp_extract_all(text, '[0-9]+[.][0-9]+')) >= 2 AND regexp_matches(text, '[.]{{3,}}')) OR len(regexp_extract_all(text, '[0-9]+[.][0-9]+')) >= 3 HAVING count(*) > 0
+UNION ALL SELECT 'recover_math', 3, count(*) FROM blocks WHERE kind = 'formula' AND length(regexp_replace(text, '[-+*/=^_{{}}<>()~]', '', 'g')) > 0.5 * length(text) HAVING count(*) > 0""")
+def q_repair_plan(t, spark):
+    return annotate.repair_plan(classify.issues(model.text_blocks(t("documents")))).groupBy("action", "rank").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT p_brand AS stem, 'small' AS kind, 30::BIGINT AS expected, count(*) FILTER (WHERE p_size < 10) AS actual, count(*) FILTER (WHERE p_size < 10) = 30 AS ok FROM part GROUP BY p_brand""")
+def q_compare_expected(t, spark):
+    p = t("part").withColumnRenamed("p_brand", "stem")
+    expected = p.select("stem", F.lit("small").alias("kind"), F.lit(30).alias("expected")).distinct()
+    return annotate.compare_expected(expected, p.where("p_size < 10").groupBy("stem").agg(F.count("*").alias("actual")).withColumn("kind", F.lit("small")))
+
+
+@query(f"""WITH {PAIRS}, r AS (SELECT text = other AS same, trim(other) = '' AS blank, len(list_filter(list_distinct(regexp_extract_all(text, '[0-9]+')), lambda x: NOT list_contains(list_distinct(regexp_extract_all(other, '[0-9]+')), x))) > 0 AS lost FROM pairs)
+SELECT count(*) AS checked, count(*) FILTER (WHERE same) AS unchanged, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE lost) AS numbers_lost, round(1 - count(*) FILTER (WHERE same OR blank OR lost) / greatest(count(*), 1), 3) AS score FROM r""")
+def q_review_totals(t, spark):
+    return annotate.review_totals(pairs(t).select(F.col("text").alias("source"), F.col("other").alias("target")))
+
+
+@query("SELECT o_orderkey AS id, o_orderpriority AS queue, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS place FROM orders WHERE o_orderstatus = 'O'")
+def q_queue_positions(t, spark):
+    tasks = t("orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "O", "waiting").otherwise("done").alias("state"), F.col("o_orderdate").alias("created"), F.col("o_orderpriority").alias("queue"))
+    return annotate.queue_positions(tasks)
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' THEN o_totalprice + 12 ELSE o_totalprice END AS y FROM orders WHERE o_orderstatus <> 'F'")
+def q_writeback(t, spark):
+    o = t("orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("y"), F.lit(12.0).alias("height"), "o_orderstatus")
+    plan = o.where("o_orderstatus in ('F', 'P')").select("id", F.when(F.col("o_orderstatus") == "F", "block").otherwise("shift_down").alias("action"))
+    return annotate.writeback(plan, o.select("id", "y", "height"))
+
+
+@query(f"""WITH {LINES}, s AS (SELECT doc_id, block_idx, text, CASE WHEN length(text) = 0 THEN 0 ELSE (length(text) - length(regexp_replace(text, '[-=<>+*/^_{{}}]', '', 'g'))) / length(text) END AS share FROM lines),
+c AS (SELECT doc_id, block_idx, CASE WHEN length(text) = 0 THEN 0.0 ELSE 0.9 * CASE WHEN length(text) < 4 THEN 0.9 ELSE 1.0 END * CASE WHEN share > 0.3 THEN 0.85 ELSE 1.0 END * greatest(0.3, (doc_id % 10) / 10.0) END AS v FROM s)
+SELECT doc_id, block_idx, round(v, 6)::DOUBLE AS confidence, CASE WHEN v < 0.5 THEN 'strong' ELSE 'fast' END AS model FROM c""")
+def q_estimate(t, spark):
+    v = annotate.estimate(F.col("text"), F.lit(0.9), (F.col("doc_id") % 10) / 10.0)
+    b = model.text_blocks(t("documents")).withColumn("v", v)
+    return b.select("doc_id", "block_idx", F.round("v", 6).alias("confidence"), annotate.model_for(F.lit(False), F.lit("generic"), F.col("v")).alias("model"))
+
+
+@query()
+def q_split_contents(t, spark):
+    made = model.text_blocks(t("documents")).where("kind = 'heading'").withColumn("text", F.concat(F.lit("1.1 A .... 3 1.2 B .... 4 "), "text"))
+    return annotate.split_contents(made)
