@@ -185,7 +185,7 @@ def similar_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     heads = cut(heads, "heads")
     shift = 1 << bits
     emitted = heads.select("rep", F.posexplode("sig").alias("block", "value")).select("rep", F.explode(variants(F.col("value"), bits)).alias("variant"), "block")
-    emitted = emitted.select("rep", (F.col("block") * F.lit(shift) + F.col("variant")).alias("key"))
+    emitted = emitted.select("rep", (F.col("block").cast("bigint") * F.lit(shift) + F.col("variant")).alias("key"))
     least = emitted.withColumn("c_rep", F.min("rep").over(_by_key())).where("rep <> c_rep").select("key", "rep", "c_rep")
     waiting, found = cut(least, "buckets"), None
     sigs = heads.select("rep", "sig")
