@@ -138,19 +138,20 @@ def block_bits(n_texts: int) -> int:
 
 
 def signature(words: np.ndarray, blocks: int, bits: int, n: int = SHINGLE) -> np.ndarray:
-    """``blocks`` SimHashes of ``bits`` bits over the set of ``n``-word shingles of hashed words."""
+    """``blocks`` SimHashes of ``bits`` bits over the set of ``n``-word shingles of hashed words, and one of 64 bits."""
     h = np.unique(ngrams(words, n))
     need = math.ceil(blocks * bits / 64)
+    sketch = int(np.packbits(_votes(mix(h, 16)) * 2 > len(h), bitorder="little").view("<i8")[0])
     flat = np.concatenate([_votes(mix(h, 17 + k)) * 2 > len(h) for k in range(need)])[: blocks * bits]
     weights = np.uint64(1) << np.arange(bits, dtype=np.uint64)
-    return (flat.reshape(blocks, bits) * weights).sum(1, dtype=np.uint64).astype(np.int64)
+    return np.append((flat.reshape(blocks, bits) * weights).sum(1, dtype=np.uint64).astype(np.int64), sketch)
 
 
-def largest_distance(similarity: float, size: int) -> int:
-    """Bits of ``size`` that may differ at ``similarity``: the mean and 1.5 deviations."""
+def largest_distance(similarity: float, size: int, deviations: float = 1.5) -> int:
+    """Bits of ``size`` that may differ at ``similarity``: the mean and some deviations."""
     cosine = 2 * similarity / (1 + similarity)
     p = math.acos(cosine) / math.pi
-    return math.floor(size * p + 1.5 * math.sqrt(size * p * (1 - p)))
+    return math.floor(size * p + deviations * math.sqrt(size * p * (1 - p)))
 
 
 def similar_components(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, blocks: int = BLOCKS) -> DataFrame:
@@ -165,7 +166,7 @@ def similar_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     """
     n = docs.count()
     bits = block_bits(n)
-    limit = largest_distance(similarity, blocks * bits)
+    limit, rough = largest_distance(similarity, blocks * bits + 64), largest_distance(similarity, 64, 3.0)
 
     @F.pandas_udf("array<bigint>")
     def of(texts: pd.Series) -> pd.Series:
@@ -184,26 +185,31 @@ def similar_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     heads = signed.groupBy("same").agg(F.min(F.struct("id", "sig")).alias("head")).select("same", F.col("head.id").alias("rep"), F.col("head.sig").alias("sig"))
     heads = cut(heads, "heads")
     shift = 1 << bits
-    emitted = heads.select("rep", F.posexplode("sig").alias("block", "value")).select("rep", F.explode(variants(F.col("value"), bits)).alias("variant"), "block")
-    emitted = emitted.select("rep", (F.col("block").cast("bigint") * F.lit(shift) + F.col("variant")).alias("key"))
-    least = emitted.withColumn("c_rep", F.min("rep").over(_by_key())).where("rep <> c_rep").select("key", "rep", "c_rep")
-    waiting, found = cut(least, "buckets"), None
+    # A row carries the 64-bit sketch, which rules out most chance meetings (three deviations off) before any join.
+    sketch = F.element_at("sig", -1).alias("sketch")
+    emitted = heads.select("rep", sketch, F.posexplode(F.slice("sig", 1, blocks)).alias("block", "value")).select("rep", "sketch", F.explode(variants(F.col("value"), bits)).alias("variant"), "block")
+    emitted = emitted.select("rep", "sketch", (F.col("block").cast("bigint") * F.lit(shift) + F.col("variant")).alias("key"))
+    # First every member of a bucket is held against the bucket's least; then those that are unlike it
+    # against the 2, 4, 8, ... least among themselves: few rounds, and few pairs where members are alike.
+    alike = (F.bit_count(F.col("sketch").bitwiseXOR(F.col("c_sketch"))) <= rough).alias("alike")
+    least = emitted.withColumn("least", F.min(F.struct("rep", "sketch")).over(_by_key())).select("key", "rep", "sketch", F.col("least.rep").alias("c_rep"), F.col("least.sketch").alias("c_sketch"))
+    pairs = cut(least.where("rep <> c_rep").select("key", "rep", "sketch", "c_rep", alike), "buckets")
+    waiting, found, centres = pairs.select("key", "rep", "sketch"), None, 1
     sigs = heads.select("rep", "sig")
     differs = F.aggregate(F.zip_with("sig", "c_sig", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
     while True:
-        pairs = waiting.select("rep", "c_rep").distinct()
-        pairs = pairs.join(sigs, "rep").join(sigs.select(F.col("rep").alias("c_rep"), F.col("sig").alias("c_sig")), "c_rep")
-        links = cut(pairs.select("rep", "c_rep", (differs <= limit).alias("near")), "links")
-        near = links.where("near").select("rep", "c_rep")
-        found = near if found is None else found.union(near)
-        # Members that are unlike their bucket's least member are tried among themselves.
-        left = waiting.join(links.where("not near"), ["rep", "c_rep"], "left_semi").select("key", "rep")
-        rest = left.withColumn("c_rep", F.min("rep").over(_by_key())).where("rep <> c_rep")
-        rest = cut(rest, "buckets")
-        drop_cut(waiting)
-        waiting = rest
-        if not rest.take(1):
+        both = pairs.where("alike").select("rep", "c_rep").distinct().join(sigs, "rep").join(sigs.select(F.col("rep").alias("c_rep"), F.col("sig").alias("c_sig")), "c_rep")
+        near = cut(both.where(differs <= limit).select("rep", "c_rep"), "links")
+        found = near if found is None else found.unionByName(near)
+        settled = pairs.where("alike").join(near, ["rep", "c_rep"], "left_semi").select("key", "rep").distinct()
+        left = waiting.join(settled, ["key", "rep"], "left_anti").withColumn("n", F.row_number().over(_by_key().orderBy("rep")))
+        waiting = cut(left, "waiting")
+        if not waiting.where("n > 1").take(1):
             break
+        centres *= 2
+        least = waiting.where(F.col("n") <= centres).select("key", F.col("rep").alias("c_rep"), F.col("sketch").alias("c_sketch"))
+        pairs = cut(waiting.join(least, "key").where("c_rep < rep").where(alike).select("key", "rep", "c_rep", alike), "buckets")
+        waiting = waiting.where(F.col("n") > centres).select("key", "rep", "sketch")
     parts = connected_components(found, "rep", "c_rep")
     out = heads.join(parts, heads.rep == parts.id, "left").select("same", F.coalesce("component", "rep").alias("component"))
     return signed.select("id", "same").join(out, "same").select(F.col("id").alias(id), "component")
