@@ -9,8 +9,9 @@ instead of to each other, so no bucket makes a quadratic number of rows.
 
 * :func:`fingerprints` - 64-bit SimHash of shingles, repeats included.
 * :func:`near_components` - groups of fingerprints linked at 2 or fewer bits.
-* :func:`signatures` / :func:`similar_components` - the same ball hashing over
-  several short, independent blocks, for word-shingle similarity of 0.8 or more.
+* :func:`similar_components` - groups of texts linked at a word-shingle
+  similarity of 0.8 or more, where 64-bit fingerprints differ in too many bits
+  for balls: candidates share a band of least hashes and are verified whole.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..session import cut, drop_cut
+from ..session import cut
 from .common import ascii_words, chunks, hash_words, mix, ngrams
 
 SHINGLE_SEED = 42
@@ -125,91 +126,109 @@ def simhash_components(docs: DataFrame, id: str = "doc_id", text: str = "text")
 
 #: Words in a shingle, and the least share of common shingles, of a near copy.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Independent blocks that a text's signature has.
-BLOCKS = 10
+#: Bands of a signature and least hashes in a band. A pair of similarity s shares a band with probability
+#: 1 - (1 - s^ROWS)^BANDS, whatever the number of texts: 0.9999 at 0.80.
+BANDS, ROWS = 30, 6
+#: Rounds that hold the members of a bucket against one of them, before the rest is held against each other.
+STAR_ROUNDS = 2
 
 
-def block_bits(n_texts: int) -> int:
-    """Bits of a block, so that a text meets under one unrelated text per block by chance."""
-    bits = 26
-    while n_texts * (1 + bits + bits * (bits - 1) / 2) / 2**bits > 0.5 and bits < 52:
-        bits += 1
-    return bits
+def _factors(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and summands of ``n`` hash functions."""
+    base = np.arange(1, n + 1, dtype=np.uint64)
+    return mix(base, 7) | np.uint64(1), mix(base, 8)
 
 
-def signature(words: np.ndarray, blocks: int, bits: int, n: int = SHINGLE) -> np.ndarray:
-    """``blocks`` SimHashes of ``bits`` bits over the set of ``n``-word shingles of hashed words, and one of 64 bits."""
-    h = np.unique(ngrams(words, n))
-    need = math.ceil(blocks * bits / 64)
-    sketch = int(np.packbits(_votes(mix(h, 16)) * 2 > len(h), bitorder="little").view("<i8")[0])
-    flat = np.concatenate([_votes(mix(h, 17 + k)) * 2 > len(h) for k in range(need)])[: blocks * bits]
-    weights = np.uint64(1) << np.arange(bits, dtype=np.uint64)
-    return np.append((flat.reshape(blocks, bits) * weights).sum(1, dtype=np.uint64).astype(np.int64), sketch)
+def least_hashes(words: np.ndarray, bounds: np.ndarray, bands: int = BANDS, rows: int = ROWS, n: int = SHINGLE) -> np.ndarray:
+    """For each text, the least value of its ``n``-word shingles under ``bands * rows`` hash functions; texts must have words."""
+    parts = [ngrams(words[a:b], n) for a, b in zip(bounds[:-1], bounds[1:])]
+    first = np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]]).astype(np.int64)
+    h = np.concatenate(parts)
+    with np.errstate(over="ignore"):
+        return np.stack([np.minimum.reduceat(h * a + b, first) for a, b in zip(*_factors(bands * rows))], axis=1)
 
 
-def largest_distance(similarity: float, size: int, deviations: float = 1.5) -> int:
-    """Bits of ``size`` that may differ at ``similarity``: the mean and some deviations."""
-    cosine = 2 * similarity / (1 + similarity)
-    p = math.acos(cosine) / math.pi
-    return math.floor(size * p + deviations * math.sqrt(size * p * (1 - p)))
+def band_keys(least: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    """A 64-bit key for each band of each text."""
+    grouped = least.reshape(len(least), bands, -1)
+    key = np.tile(np.arange(bands, dtype=np.uint64), (len(least), 1))
+    with np.errstate(over="ignore"):
+        for k in range(grouped.shape[2]):
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + grouped[:, :, k], k)
+    return key.view(np.int64)
 
 
-def similar_components(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, blocks: int = BLOCKS) -> DataFrame:
+def least_agreement(similarity: float, size: int, deviations: float = 1.5) -> int:
+    """Of ``size`` least hashes, how many a pair of this similarity has in common, less some deviations."""
+    return math.floor(size * similarity - deviations * math.sqrt(size * similarity * (1 - similarity)))
+
+
+def similar_components(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """Rows ``(id, component)`` of the texts that share a component with another.
 
     Near copies have ``similarity`` or more of their distinct five-word shingles
-    in common (Jaccard). Each text's signature is ``blocks`` independent short
-    SimHashes; ball hashing links the texts whose blocks differ in at most two
-    bits anywhere, and a pair counts if its whole signatures agree as much as
-    the similarity asks. Equal word sequences are merged first. Blank texts are
-    no copies of each other. ``id`` must be unique and not null.
+    in common (Jaccard). Texts that share a band of least hashes are candidates;
+    a candidate pair counts if its whole signatures agree as much as the
+    similarity asks. Of
+    two texts in a bucket, either the pair is looked at or other links join them
+    already. Equal word sequences are merged first. Blank texts are no copies of
+    each other. ``id`` must be unique and not null.
     """
-    n = docs.count()
-    bits = block_bits(n)
-    limit, rough = largest_distance(similarity, blocks * bits + 64), largest_distance(similarity, 64, 3.0)
+    least = least_agreement(similarity, BANDS * ROWS)
 
-    @F.pandas_udf("array<bigint>")
-    def of(texts: pd.Series) -> pd.Series:
-        out = []
+    @F.pandas_udf("struct<keys:array<bigint>,sig:binary>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        keys, sigs = [], []
         for _, part in chunks(texts):
-            words, bounds = hash_words(part)
-            out += [signature(words[a:b], blocks, bits) for a, b in zip(bounds[:-1], bounds[1:])]
-        return pd.Series(out)
+            found = least_hashes(*hash_words(part))
+            keys += list(band_keys(found))
+            sigs += [row.tobytes() for row in found.astype(np.uint8)]
+        return pd.DataFrame({"keys": keys, "sig": sigs})
 
     @F.pandas_udf("binary")
     def plain(texts: pd.Series) -> pd.Series:
         return pd.Series([xxhash.xxh3_128_digest(b" ".join(w)) if (w := ascii_words(t)) else None for t in texts])
 
-    signed = docs.select(F.col(id).alias("id"), plain(F.col(text)).alias("same"), of(F.col(text)).alias("sig")).where("same is not null")
-    signed = cut(signed, "signatures")
-    heads = signed.groupBy("same").agg(F.min(F.struct("id", "sig")).alias("head")).select("same", F.col("head.id").alias("rep"), F.col("head.sig").alias("sig"))
-    heads = cut(heads, "heads")
-    shift = 1 << bits
-    # A row carries the 64-bit sketch, which rules out most chance meetings (three deviations off) before any join.
-    sketch = F.element_at("sig", -1).alias("sketch")
-    emitted = heads.select("rep", sketch, F.posexplode(F.slice("sig", 1, blocks)).alias("block", "value")).select("rep", "sketch", F.explode(variants(F.col("value"), bits)).alias("variant"), "block")
-    emitted = emitted.select("rep", "sketch", (F.col("block").cast("bigint") * F.lit(shift) + F.col("variant")).alias("key"))
-    # First every member of a bucket is held against the bucket's least; then those that are unlike it
-    # against the 2, 4, 8, ... least among themselves: few rounds, and few pairs where members are alike.
-    alike = (F.bit_count(F.col("sketch").bitwiseXOR(F.col("c_sketch"))) <= rough).alias("alike")
-    least = emitted.withColumn("least", F.min(F.struct("rep", "sketch")).over(_by_key())).select("key", "rep", "sketch", F.col("least.rep").alias("c_rep"), F.col("least.sketch").alias("c_sketch"))
-    pairs = cut(least.where("rep <> c_rep").select("key", "rep", "sketch", "c_rep", alike), "buckets")
-    waiting, found, centres = pairs.select("key", "rep", "sketch"), None, 1
-    sigs = heads.select("rep", "sig")
-    differs = F.aggregate(F.zip_with("sig", "c_sig", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
-    while True:
-        both = pairs.where("alike").select("rep", "c_rep").distinct().join(sigs, "rep").join(sigs.select(F.col("rep").alias("c_rep"), F.col("sig").alias("c_sig")), "c_rep")
-        near = cut(both.where(differs <= limit).select("rep", "c_rep"), "links")
+    @F.pandas_udf("boolean")
+    def agree(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([int((np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).sum()) >= least for x, y in zip(a, b)], dtype=bool)
+
+    known = cut(docs.select(F.col(id).alias("id"), plain(F.col(text)).alias("same")).where("same is not null"), "words")
+    heads = cut(known.groupBy("same").agg(F.min("id").alias("rep")), "heads")
+    texts = cut(docs.select(F.col(id).alias("rep"), F.col(text).alias("text")).join(heads.select("rep"), "rep", "left_semi"), "texts")
+    signed = cut(texts.select("rep", of("text").alias("s")).select("rep", "s.keys", "s.sig"), "signatures")
+    emitted = signed.select("rep", F.explode("keys").alias("key"))
+    shared = emitted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    waiting = cut(emitted.join(shared, "key"), "buckets")
+    sigs = signed.select("rep", "sig")
+
+    def links(pairs: DataFrame) -> DataFrame:
+        """Of pairs (rep, c_rep), c_rep < rep, the ones that are near copies."""
+        other = lambda df, c: df.select(F.col("rep").alias("c_rep"), F.col(c).alias(f"c_{c}"))
+        return cut(pairs.distinct().join(sigs, "rep").join(other(sigs, "sig"), "c_rep").where(agree("sig", "c_sig")).select("rep", "c_rep"), "links")
+
+    found = parts = None
+    for turn in range(STAR_ROUNDS + 1):
+        labelled = waiting.withColumn("part", F.col("rep"))
+        if turn:
+            parts = cut(connected_components(found, "rep", "c_rep"), "parts")
+            labelled = waiting.join(parts, waiting.rep == parts.id, "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
+            mixed = labelled.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
+            labelled = cut(labelled.join(mixed, "key"), "mixed")
+            waiting = labelled.select("key", "rep")
+            if not waiting.take(1):
+                break
+        if turn < STAR_ROUNDS:
+            # Each round has other centres: all but the first are drawn by a hash.
+            order = F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep")
+            centres = labelled.groupBy("key").agg(F.min(F.struct(order.alias("o"), "rep", "part")).alias("c"))
+            pairs = labelled.join(centres, "key").where("part <> c.part").select(F.greatest("rep", "c.rep").alias("rep"), F.least("rep", "c.rep").alias("c_rep"))
+        else:
+            other = labelled.select("key", F.col("rep").alias("c_rep"), F.col("part").alias("c_part"))
+            pairs = labelled.join(other, "key").where("c_rep < rep and part <> c_part").select("rep", "c_rep")
+        near = links(pairs)
         found = near if found is None else found.unionByName(near)
-        settled = pairs.where("alike").join(near, ["rep", "c_rep"], "left_semi").select("key", "rep").distinct()
-        left = waiting.join(settled, ["key", "rep"], "left_anti").withColumn("n", F.row_number().over(_by_key().orderBy("rep")))
-        waiting = cut(left, "waiting")
-        if not waiting.where("n > 1").take(1):
-            break
-        centres *= 2
-        least = waiting.where(F.col("n") <= centres).select("key", F.col("rep").alias("c_rep"), F.col("sketch").alias("c_sketch"))
-        pairs = cut(waiting.join(least, "key").where("c_rep < rep").where(alike).select("key", "rep", "c_rep", alike), "buckets")
-        waiting = waiting.where(F.col("n") > centres).select("key", "rep", "sketch")
-    parts = connected_components(found, "rep", "c_rep")
+    else:
+        parts = connected_components(found, "rep", "c_rep")
     out = heads.join(parts, heads.rep == parts.id, "left").select("same", F.coalesce("component", "rep").alias("component"))
-    return signed.select("id", "same").join(out, "same").select(F.col("id").alias(id), "component")
+    return known.join(out, "same").select(F.col("id").alias(id), "component")

@@ -98,6 +98,20 @@ def test_similar_texts_are_found_and_others_kept(spark):
     assert all(groups[i] == groups[c] for i, c in got.items())
 
 
+def test_a_settled_copy_still_links_others(spark):
+    """Two texts that are unlike each other and both like a third share its component, whichever id is least."""
+    rng = random.Random(12)
+    rows = []
+    for g in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(204)]
+        left, right = list(words), list(words)
+        for k in range(4):
+            left[10 + 22 * k], right[110 + 22 * k] = f"l{g}_{k}", f"r{g}_{k}"
+        rows += [(3 * g, " ".join(left)), (3 * g + 1, " ".join(right)), (3 * g + 2, " ".join(words))]
+    got = {r.doc_id: r.component for r in simhash.similar_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(got[3 * g] == got[3 * g + 1] == got[3 * g + 2] == 3 * g for g in range(40))
+
+
 def test_hashed_words():
     texts = ["One two  THREE", None, "", "a" * 3_000_000 + " b", "x\ty"]
     h, bounds = common.hash_words(texts)
