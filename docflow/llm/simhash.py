@@ -158,18 +158,26 @@ def band_keys(least: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return key.view(np.int64)
 
 
-def least_agreement(similarity: float, size: int, deviations: float = 1.5) -> int:
-    """Of ``size`` least hashes, how many a pair of this similarity has in common, less some deviations."""
+def least_agreement(similarity: float, size: int, deviations: float = 4.5) -> int:
+    """Of ``size`` least hashes, how many a pair of this similarity has in common, but for one in 100,000."""
     return math.floor(size * similarity - deviations * math.sqrt(size * similarity * (1 - similarity)))
 
 
+def jaccard(a: str, b: str, n: int = SHINGLE) -> float:
+    """Share of the distinct ``n``-word shingles of two texts that both have."""
+    words, bounds = hash_words([a, b])
+    x, y = (np.unique(ngrams(words[i:j], n)) for i, j in zip(bounds[:-1], bounds[1:]))
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common / max(1, len(x) + len(y) - common)
+
+
 def similar_components(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """Rows ``(id, component)`` of the texts that share a component with another.
 
     Near copies have ``similarity`` or more of their distinct five-word shingles
     in common (Jaccard). Texts that share a band of least hashes are candidates;
-    a candidate pair counts if its whole signatures agree as much as the
-    similarity asks. Of
+    a candidate pair whose whole signatures agree by chance only is left out by
+    a generous limit, and every other is verified on the whole shingle sets. Of
     two texts in a bucket, either the pair is looked at or other links join them
     already. Equal word sequences are merged first. Blank texts are no copies of
     each other. ``id`` must be unique and not null.
@@ -193,6 +201,10 @@ def similar_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     def agree(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([int((np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).sum()) >= least for x, y in zip(a, b)], dtype=bool)
 
+    @F.pandas_udf("boolean")
+    def verified(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([jaccard(x, y) >= similarity for x, y in zip(a, b)], dtype=bool)
+
     known = cut(docs.select(F.col(id).alias("id"), plain(F.col(text)).alias("same")).where("same is not null"), "words")
     heads = cut(known.groupBy("same").agg(F.min("id").alias("rep")), "heads")
     texts = cut(docs.select(F.col(id).alias("rep"), F.col(text).alias("text")).join(heads.select("rep"), "rep", "left_semi"), "texts")
@@ -205,7 +217,8 @@ def similar_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     def links(pairs: DataFrame) -> DataFrame:
         """Of pairs (rep, c_rep), c_rep < rep, the ones that are near copies."""
         other = lambda df, c: df.select(F.col("rep").alias("c_rep"), F.col(c).alias(f"c_{c}"))
-        return cut(pairs.distinct().join(sigs, "rep").join(other(sigs, "sig"), "c_rep").where(agree("sig", "c_sig")).select("rep", "c_rep"), "links")
+        likely = cut(pairs.distinct().join(sigs, "rep").join(other(sigs, "sig"), "c_rep").where(agree("sig", "c_sig")).select("rep", "c_rep"), "likely")
+        return cut(likely.join(texts, "rep").join(other(texts, "text"), "c_rep").where(verified("text", "c_text")).select("rep", "c_rep"), "links")
 
     found = parts = None
     for turn in range(STAR_ROUNDS + 1):

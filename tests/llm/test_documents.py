@@ -98,6 +98,27 @@ def test_similar_texts_are_found_and_others_kept(spark):
     assert all(groups[i] == groups[c] for i, c in got.items())
 
 
+def test_similar_pairs_are_those_of_the_shingle_sets(spark):
+    """Pairs at 0.80 and just above are found and pairs below 0.80 are not, whatever their signatures say."""
+    rng = random.Random(11)
+    rows, planted = [], []
+    for g in range(120):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(204)]  # 200 shingles
+        other, edits = list(words), (4, 5, 6, 7)[g % 4]  # each edit replaces five shingles: 0.82 0.78 0.74 0.70
+        if edits == 4:  # 180 of 220 common
+            for k in range(edits):
+                other[20 + 40 * k] = f"e{g}_{k}"
+        else:
+            for k in range(edits):
+                other[10 + 25 * k] = f"e{g}_{k}"
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(other))]
+        planted.append(len(shingles(rows[-1][1]) & shingles(rows[-2][1])) / len(shingles(rows[-1][1]) | shingles(rows[-2][1])))
+    got = {r.doc_id: r.component for r in simhash.similar_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    same = [got[2 * g] == got[2 * g + 1] for g in range(120)]
+    assert min(planted) < 0.72 and sum(p >= 0.8 for p in planted) == 30
+    assert same == [p >= 0.8 for p in planted]
+
+
 def test_a_settled_copy_still_links_others(spark):
     """Two texts that are unlike each other and both like a third share its component, whichever id is least."""
     rng = random.Random(12)
