@@ -41,3 +41,13 @@ def test_stages_keep_clean_documents_and_drop_the_planted(spark, tmp_path):
 def test_run_over_the_table(spark):
     got = corpus_pipeline.run(spark, DATA)
     assert got.count() > 0 and got.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
+
+
+def test_rows_that_repeat_an_id_with_other_texts_stay(spark):
+    rng = random.Random(3)
+    say = lambda n: " ".join(f"w{rng.randrange(4000)}" for _ in range(n))
+    a, b, c = say(100), say(100), say(100)
+    rows = [(1, a), (1, a), (1, b), (2, a), (0, b), (3, c), (3, None), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.text or "") for r in corpus_pipeline.drop_near_copies(spark, docs, DATA).collect())
+    assert got == sorted([(1, a), (0, b), (3, c), (3, ""), (4, "")])
