@@ -1,6 +1,6 @@
 """HTML extraction: markup where it speaks, a host's suffix array where it does not.
 
-A page is cut into blocks. Blocks in menus, headers, footers, sidebars, notices,
+A page is cut into blocks. A class name counts if all its parts are such words. Blocks in menus, headers, footers, sidebars, notices,
 adverts, forms, reader comments and the like are dropped; if the page marks its
 main part (``article``, ``main`` or a content class), the blocks in it are its
 text, whole. Only where a page marks nothing is it left to its host: the token
@@ -28,12 +28,12 @@ RUN = 8
 
 # Elements and class words by what they say of their content.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script style noscript template svg iframe object textarea select canvas audio video math head title"
+RAW = "script style noscript template svg iframe object textarea select canvas audio video title"
 BLOCK = set(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul".split()
 )
-CHROME = set("nav footer aside form button dialog menu fieldset".split())
+CHROME = set("nav footer aside form button dialog menu fieldset annotation annotation-xml".split())
 CHROME_WORDS = set(
     "ad ads advert adverts advertisement advertising adbox banner sponsor sponsored sponsors promo promotion promoted nav navbar navigation menu"
     " breadcrumb breadcrumbs sidebar sidenav footer cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter"
@@ -56,11 +56,14 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|itemprop)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-_WORDS = re.compile(r"[a-z0-9]+")
+_PARTS = re.compile(r"[-_]+")
 
 
-def _kind(tag: str, attributes: str, in_main: bool) -> str | None:
-    """``chrome``, ``main`` or None, as an element says of its content."""
+def _kind(tag: str, attributes: str, in_main: bool, first: bool) -> str | None:
+    """``chrome``, ``words`` (chrome by a class word), ``main`` or None, as an element says of its content.
+
+    ``first``: the page has shown no main part yet; then article and main are one whatever their class words.
+    """
     if tag in CHROME or (tag == "header" and not in_main):
         return "chrome"
     found = None
@@ -76,9 +79,10 @@ def _kind(tag: str, attributes: str, in_main: bool) -> str | None:
             elif name == "itemprop":
                 found = "main" if value == "articlebody" else found
             elif tag not in ("html", "body"):
-                words = set(_WORDS.findall(value))
-                if words & CHROME_WORDS or ("header" in words and not in_main):
-                    return "chrome"
+                words = set(value.split())
+                said = any(CHROME_WORDS.issuperset(_PARTS.split(w)) for w in words)
+                if (said or ("header" in words and not in_main)) and not (first and tag in ("article", "main")):
+                    return "words"
                 if set(value.replace("_", "-").split()) & MAIN_WORDS:
                     found = "main"
     return "main" if tag in ("article", "main") else found
@@ -96,6 +100,7 @@ def blocks(page: str | None) -> tuple[list[str], list[str]]:
     text: list[str] = []
     stack: list[tuple[str, str | None]] = []
     chrome = inside = 0
+    first = True
 
     def flush() -> None:
         if text:
@@ -109,7 +114,7 @@ def blocks(page: str | None) -> tuple[list[str], list[str]]:
         nonlocal chrome, inside
         while len(stack) > n:
             kind = stack.pop()[1]
-            chrome -= kind == "chrome"
+            chrome -= kind in ("chrome", "words")
             inside -= kind == "main"
 
     page, at = page or "", 0
@@ -141,9 +146,14 @@ def blocks(page: str | None) -> tuple[list[str], list[str]]:
                     break
         if tag in VOID or attributes.endswith("/"):
             continue
-        kind = _kind(tag, attributes, inside > 0)
+        kind = _kind(tag, attributes, inside > 0, first)
+        if kind == "main" and first and tag in ("article", "main") and all(k != "chrome" for _, k in stack):
+            # What holds the page's main part is no chrome, whatever its class words.
+            chrome -= sum(k == "words" for _, k in stack)
+            stack[:] = [(t, None if k == "words" else k) for t, k in stack]
+        first = first and not (kind == "main" and not chrome)
         stack.append((tag, kind))
-        chrome += kind == "chrome"
+        chrome += kind in ("chrome", "words")
         inside += kind == "main"
     if at < len(page) and not chrome:
         text.append(page[at:])

@@ -102,6 +102,23 @@ def test_articles_of_the_table(spark):
         assert got[p.page_id] == "\n\n".join(x for x in parts if x)
 
 
+def test_ordinary_markup_keeps_the_article():
+    text = "<p>The article.</p>"
+    for page in (
+        f'<main class="with-sidebar">{text}</main>',
+        f'<article class="post no-sidebar">{text}</article>',
+        f'<article class="post sponsored">{text}</article>',
+        f'<div class="content-sidebar-wrap"><article>{text}</article></div>',
+        f'<div class="widget"><main>{text}</main></div><div class="related"><article>Other</article></div>',
+        f"<html><head><title>T</title><meta charset=utf-8><style>p{{}}</style><body><article>{text}</article>",
+        f"<head><title>T</title><article>{text}<section class=comments><article>Reply</article></section></article>",
+    ):
+        assert html_text.blocks(page)[0] == ["The article."], page
+    assert html_text.blocks(f'<article>{text}<div class="cookie-notice">We use</div><div class="ad_banner">Buy</div></article>')[0] == ["The article."]
+    formula = "<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds</p></article>"
+    assert html_text.blocks(formula)[0] == ["so x=2 holds"]
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body class="has-sidebar"><header><a>Logo</a></header><nav>Menu</nav>
 <div class="cookie-notice">We use cookies</div><main><article><header><h1>The &lt;title&gt;</h1></header><p>One
  <b>bold</b> &amp; two<p>Three<script>bad("</p>")</script><ul><li>a<li>b</ul><aside>Aside</aside><form>Form</form>
