@@ -143,6 +143,14 @@ def test_unmarked_pages_lose_what_their_host_repeats(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_unmarked_articles_lose_the_headings_and_quotations_they_share(spark):
+    """What the README states of pages that mark no main part."""
+    quote = "one two three four five six seven eight nine ten"
+    rows = [(k, "http://h/", f"<h1>Introduction</h1><p>text of page {k} says {quote} and ends as page {k}</p>") for k in range(2)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all("Introduction" not in v and "three" not in v and f"text of page {k}" in v for k, v in got.items())
+
+
 def test_fixity(spark):
     pages = table(spark, DATA, "pages")
     got = {(r.key, r.problem) for r in fixity.fixity_report(pages).collect()}
