@@ -6,6 +6,11 @@ import sys
 import types
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..session import cut, drop_cut
 
 _MASK = (1 << 64) - 1
 _P = 0x9E3779B97F4A7C15 | 1
@@ -127,3 +132,33 @@ def chunks(texts, chars: int = 400_000):
 def ascii_words(text) -> list[bytes]:
     """Lower-cased (A-Z only) words between the ASCII white-space characters."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+
+
+def labelled_sample(docs: DataFrame, marked: DataFrame, text: str, max_rows: int, max_chars: int, max_total: int):
+    """Lists (texts, labels) of a bounded sample, by id; what a model is fitted on.
+
+    ``docs`` has ``id`` and the text, ``marked`` has ``(id, label)``, a row per
+    id. The sample has the ``max_rows`` ids of least hash, without those whose
+    text is null or has over ``max_chars`` characters, and of these, in order of
+    the hash, as many as have ``max_total`` characters in all. An id of several
+    texts has the least of them, taken before anything is collected, so the
+    driver never holds more than these bounds.
+    """
+    picked = marked.orderBy(F.xxhash64("id"), "id").limit(max_rows)
+    texts = docs.select("id", F.col(text).alias("text")).where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
+    # max_rows rows of two numbers are broadcast, whatever the corpus.
+    rows = texts.join(F.broadcast(picked), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    rows = cut(rows.withColumn("hash", F.xxhash64("id")), "sample")
+    total, last = 0, None
+    for h, _, n in sorted(tuple(r) for r in rows.select("hash", "id", F.length("text")).collect()):
+        total += n
+        if total > max_total:
+            break
+        last = h
+    if last is not None:
+        found = rows.where(F.col("hash") <= last).select("id", "text", "label").toArrow().sort_by("id")
+        for batch in found.to_batches(max_chunksize=500):
+            yield batch.column("text").to_pylist(), batch.column("label").to_pylist()
+        del found, batch
+    drop_cut(rows)
+    pa.default_memory_pool().release_unused()

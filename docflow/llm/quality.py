@@ -7,8 +7,8 @@ Features are the shares of hashed words, of word shapes (case, digits, marks),
 and of repeated words, so that a text's length does not matter by itself.
 
 The model is fitted on the driver from a bounded sample of rated rows
-(``max_rows`` rows of at most ``max_chars`` characters); every text is scored
-whole where it lies. Selection uses the expected grade and the tail probability.
+(``max_rows`` rows of at most ``max_chars`` characters, ``max_total`` in all);
+every text is scored whole where it lies, however long. Selection uses the expected grade and the tail probability.
 """
 
 from __future__ import annotations
@@ -20,11 +20,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, chunks, hash_words, kept, mix
+from .common import SPACES, chunks, hash_words, kept, labelled_sample, mix
 from .toxicity import held_out
 
 BITS = 18
-MAX_ROWS, MAX_CHARS = 8_000, 20_000
+MAX_ROWS, MAX_CHARS, MAX_TOTAL = 8_000, 20_000, 24_000_000
 
 
 def _shapes() -> np.ndarray:
@@ -107,25 +107,21 @@ def fit_ordinal(examples: list[tuple[np.ndarray, np.ndarray]], grades: list[int]
     return Model(w, first + np.concatenate([[0.0], np.cumsum(np.exp(steps))])[:cuts], bits)
 
 
-def fit(docs: DataFrame, ratings: DataFrame, grade: Column, n_grades: int, id: str = "doc_id", text: str = "text", max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> Model:
-    """Fit on the ``max_rows`` rated ids of least hash that are not held out.
+def fit(
+    docs: DataFrame, ratings: DataFrame, grade: Column, n_grades: int, id: str = "doc_id", text: str = "text", max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS, max_total: int = MAX_TOTAL
+) -> Model:
+    """Fit on the rated ids that are not held out, by the sample of :func:`.common.labelled_sample`.
 
-    ``grade`` is a whole number from 0; rows without one, without a text, or with
-    a text of over ``max_chars`` characters are left out of the sample. Of
-    several ratings of an id the least counts.
+    ``grade`` is a whole number from 0; rows without one are left out of the
+    sample. Of several ratings of an id the least counts.
     """
-    sample = (
-        ratings.withColumn("_g", grade.cast("int"))
-        .where(F.col("_g").between(0, n_grades - 1) & F.col(id).isNotNull() & ~held_out(F.col(id)))
-        .groupBy(F.col(id).alias("id"))
-        .agg(F.min("_g").alias("grade"))
-        .orderBy(F.xxhash64("id"), "id")
-        .limit(max_rows)
-    )
-    texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    rows = texts.join(F.broadcast(sample), "id").select("id", "text", "grade").toPandas().sort_values(["id", "text"], kind="stable")
-    rows = rows.drop_duplicates(["id"]).head(max_rows)
-    return fit_ordinal([f for _, part in chunks(rows.text) for f in features(part)], rows.grade.tolist(), n_grades)
+    rated = ratings.select(F.col(id).alias("id"), grade.cast("int").alias("label")).where(F.col("label").between(0, n_grades - 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
+    marked = rated.groupBy("id").agg(F.min("label").alias("label"))
+    examples, grades = [], []
+    for texts, values in labelled_sample(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), marked, "text", max_rows, max_chars, max_total):
+        examples += [f for _, part in chunks(texts) for f in features(part)]
+        grades += values
+    return fit_ordinal(examples, grades, n_grades)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", tail: int = 1) -> DataFrame:

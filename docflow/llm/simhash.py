@@ -16,8 +16,6 @@ instead of to each other, so no bucket makes a quadratic number of rows.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 import xxhash
@@ -25,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..session import cut
+from ..session import cut, drop_cut
 from .common import ascii_words, chunks, hash_words, mix, ngrams
 
 SHINGLE_SEED = 42
@@ -127,30 +125,40 @@ def simhash_components(docs: DataFrame, id: str = "doc_id", text: str = "text")
 #: Words in a shingle, and the least share of common shingles, of a near copy.
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands of a signature and least hashes in a band. A pair of similarity s shares a band with probability
-#: 1 - (1 - s^ROWS)^BANDS, whatever the number of texts: 0.9999 at 0.80.
-BANDS, ROWS = 30, 6
-#: Rounds that hold the members of a bucket against one of them, before the rest is held against each other.
-STAR_ROUNDS = 2
+#: 1 - (1 - s^ROWS)^BANDS, whatever the number of texts: 0.999 at 0.80.
+BANDS, ROWS = 50, 9
+#: Centres of a bucket in each round that holds its members against some of them, and the members of a bucket whose
+#: pairs are all looked at in the last round. So a row meets a fixed number of others, however large its bucket is.
+CENTRES, SMALL = (1, 8, 8), 16
 
 
 def _factors(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Odd factors and summands of ``n`` hash functions."""
+    """Odd factors and summands of ``n`` hash functions of 32 bits."""
     base = np.arange(1, n + 1, dtype=np.uint64)
-    return mix(base, 7) | np.uint64(1), mix(base, 8)
+    return (mix(base, 7) | np.uint64(1)).astype(np.uint32), mix(base, 8).astype(np.uint32)
+
+
+def _short(h: np.ndarray) -> np.ndarray:
+    """The upper 32 bits."""
+    return (h >> np.uint64(32)).astype(np.uint32)
 
 
 def least_hashes(words: np.ndarray, bounds: np.ndarray, bands: int = BANDS, rows: int = ROWS, n: int = SHINGLE) -> np.ndarray:
     """For each text, the least value of its ``n``-word shingles under ``bands * rows`` hash functions; texts must have words."""
     parts = [ngrams(words[a:b], n) for a, b in zip(bounds[:-1], bounds[1:])]
     first = np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]]).astype(np.int64)
-    h = np.concatenate(parts)
-    with np.errstate(over="ignore"):
-        return np.stack([np.minimum.reduceat(h * a + b, first) for a, b in zip(*_factors(bands * rows))], axis=1)
+    h = _short(np.concatenate(parts))
+    out, each = np.empty((bands * rows, len(parts)), dtype=np.uint32), np.empty_like(h)
+    for k, (a, b) in enumerate(zip(*_factors(bands * rows))):
+        np.multiply(h, a, out=each)
+        np.add(each, b, out=each)
+        np.minimum.reduceat(each, first, out=out[k])
+    return out.T
 
 
 def band_keys(least: np.ndarray, bands: int = BANDS) -> np.ndarray:
     """A 64-bit key for each band of each text."""
-    grouped = least.reshape(len(least), bands, -1)
+    grouped = least.reshape(len(least), bands, -1).astype(np.uint64)
     key = np.tile(np.arange(bands, dtype=np.uint64), (len(least), 1))
     with np.errstate(over="ignore"):
         for k in range(grouped.shape[2]):
@@ -158,90 +166,114 @@ def band_keys(least: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return key.view(np.int64)
 
 
-def least_agreement(similarity: float, size: int, deviations: float = 4.5) -> int:
-    """Of ``size`` least hashes, how many a pair of this similarity has in common, but for one in 100,000."""
-    return math.floor(size * similarity - deviations * math.sqrt(size * similarity * (1 - similarity)))
+def shingle_set(words: np.ndarray, n: int = SHINGLE) -> np.ndarray:
+    """The distinct shingles of a text, as sorted 32-bit hashes."""
+    return np.unique(_short(ngrams(words, n)))
 
 
-def jaccard(a: str, b: str, n: int = SHINGLE) -> float:
-    """Share of the distinct ``n``-word shingles of two texts that both have."""
-    words, bounds = hash_words([a, b])
-    x, y = (np.unique(ngrams(words[i:j], n)) for i, j in zip(bounds[:-1], bounds[1:]))
-    common = len(np.intersect1d(x, y, assume_unique=True))
+def jaccard(x: np.ndarray, y: np.ndarray, least: float = 0.0) -> float:
+    """Share of the hashes of two sets that both have; 0 where the sizes alone keep it below ``least``."""
+    if min(len(x), len(y)) < least * max(len(x), len(y)):
+        return 0.0
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    common = int((y[at] == x).sum()) if len(y) else 0
     return common / max(1, len(x) + len(y) - common)
 
 
+def signatures(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows ``(id, same, keys)`` of the texts with words: a digest of the word sequence, and a key for each band."""
+
+    @F.pandas_udf("struct<same:binary,keys:array<bigint>>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        same, keys = [], []
+        for _, part in chunks(texts):
+            words = [ascii_words(t) for t in part]
+            same += [xxhash.xxh3_128_digest(b" ".join(w)) if w else None for w in words]
+            full = [t for t, w in zip(part, words) if w]
+            found = iter(band_keys(least_hashes(*hash_words(full)))) if full else iter(())
+            keys += [next(found) if w else None for w in words]
+        return pd.DataFrame({"same": same, "keys": keys})
+
+    return docs.select(F.col(id).alias("id"), of(F.col(text)).alias("s")).select("id", "s.same", "s.keys").where("same is not null")
+
+
 def similar_components(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """Rows ``(id, component)`` of the texts that share a component with another.
+    """Rows ``(id, component)``, one for each text with words; ``component`` is the least id reachable.
 
     Near copies have ``similarity`` or more of their distinct five-word shingles
-    in common (Jaccard). Texts that share a band of least hashes are candidates;
-    a candidate pair whose whole signatures agree by chance only is left out by
-    a generous limit, and every other is verified on the whole shingle sets. Of
-    two texts in a bucket, either the pair is looked at or other links join them
-    already. Equal word sequences are merged first. Blank texts are no copies of
-    each other. ``id`` must be unique and not null.
+    in common (Jaccard, by 32-bit hashes). Texts that share a band of least
+    hashes are candidates, and a candidate pair is verified on its whole shingle
+    sets. Equal word sequences are merged first. Blank texts have no row. ``id``
+    must be unique and not null.
+
+    Members of a bucket are held against centres of it: in the first round
+    against the member of least id, in each further one, where links do not join
+    all of a bucket yet, against ``CENTRES`` others that a hash draws. In the
+    last round, all pairs of the buckets of at most ``SMALL`` members are looked
+    at. A text of one word or a very long one is a text like any other; an empty
+    table gives no rows.
     """
-    least = least_agreement(similarity, BANDS * ROWS)
-
-    @F.pandas_udf("struct<keys:array<bigint>,sig:binary>")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        keys, sigs = [], []
-        for _, part in chunks(texts):
-            found = least_hashes(*hash_words(part))
-            keys += list(band_keys(found))
-            sigs += [row.tobytes() for row in found.astype(np.uint8)]
-        return pd.DataFrame({"keys": keys, "sig": sigs})
 
     @F.pandas_udf("binary")
-    def plain(texts: pd.Series) -> pd.Series:
-        return pd.Series([xxhash.xxh3_128_digest(b" ".join(w)) if (w := ascii_words(t)) else None for t in texts])
-
-    @F.pandas_udf("boolean")
-    def agree(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([int((np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).sum()) >= least for x, y in zip(a, b)], dtype=bool)
+    def set_of(texts: pd.Series) -> pd.Series:
+        out = []
+        for _, part in chunks(texts):
+            words, bounds = hash_words(part)
+            out += [shingle_set(words[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+        return pd.Series(out)
 
     @F.pandas_udf("boolean")
     def verified(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([jaccard(x, y) >= similarity for x, y in zip(a, b)], dtype=bool)
+        return pd.Series([jaccard(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), similarity) >= similarity for x, y in zip(a, b)], dtype=bool)
 
-    known = cut(docs.select(F.col(id).alias("id"), plain(F.col(text)).alias("same")).where("same is not null"), "words")
+    known = cut(signatures(docs, id, text), "words")
     heads = cut(known.groupBy("same").agg(F.min("id").alias("rep")), "heads")
-    texts = cut(docs.select(F.col(id).alias("rep"), F.col(text).alias("text")).join(heads.select("rep"), "rep", "left_semi"), "texts")
-    signed = cut(texts.select("rep", of("text").alias("s")).select("rep", "s.keys", "s.sig"), "signatures")
-    emitted = signed.select("rep", F.explode("keys").alias("key"))
-    shared = emitted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    waiting = cut(emitted.join(shared, "key"), "buckets")
-    sigs = signed.select("rep", "sig")
+    emitted = known.join(heads.select(F.col("rep").alias("id")), "id", "left_semi").select(F.col("id").alias("rep"), F.explode("keys").alias("key"))
+    shared = emitted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    waiting = cut(emitted.join(shared, "key").select("key", "rep", F.col("rep").alias("part"), "n"), "buckets")
+    wanted = waiting.select("rep").distinct()
+    sets = cut(docs.select(F.col(id).alias("rep"), F.col(text).alias("text")).join(wanted, "rep", "left_semi").select("rep", set_of("text").alias("set")), "sets")
 
     def links(pairs: DataFrame) -> DataFrame:
-        """Of pairs (rep, c_rep), c_rep < rep, the ones that are near copies."""
-        other = lambda df, c: df.select(F.col("rep").alias("c_rep"), F.col(c).alias(f"c_{c}"))
-        likely = cut(pairs.distinct().join(sigs, "rep").join(other(sigs, "sig"), "c_rep").where(agree("sig", "c_sig")).select("rep", "c_rep"), "likely")
-        return cut(likely.join(texts, "rep").join(other(texts, "text"), "c_rep").where(verified("text", "c_text")).select("rep", "c_rep"), "links")
-
-    found = parts = None
-    for turn in range(STAR_ROUNDS + 1):
-        labelled = waiting.withColumn("part", F.col("rep"))
+        """Of pairs (rep, part, c_rep, c_part), the parts (part, c_part) that near copies join."""
+        own = pairs.distinct().join(sets, "rep")
+        centre = sets.select(F.col("rep").alias("c_rep"), F.col("set").alias("c_set"))
+        near = own.join(centre, "c_rep").where(verified("set", "c_set"))
+        return near.select(F.greatest("part", "c_part").alias("part"), F.least("part", "c_part").alias("c_part")).distinct()
+
+    steps: list[DataFrame] = []
+    for turn, many in enumerate(CENTRES):
         if turn:
-            parts = cut(connected_components(found, "rep", "c_rep"), "parts")
-            labelled = waiting.join(parts, waiting.rep == parts.id, "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
-            mixed = labelled.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
-            labelled = cut(labelled.join(mixed, "key"), "mixed")
-            waiting = labelled.select("key", "rep")
+            # Labels move on to the joined parts; a bucket that one part fills is done.
+            moved = waiting.join(steps[-1], waiting.part == steps[-1].id, "left").select("key", "rep", F.coalesce("component", "part").alias("part"), "n")
+            moved = cut(moved, "moved")
+            mixed = moved.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
+            left = cut(moved.join(mixed, "key", "left_semi"), "mixed")
+            drop_cut(moved)
+            drop_cut(waiting)
+            waiting = left
             if not waiting.take(1):
                 break
-        if turn < STAR_ROUNDS:
-            # Each round has other centres: all but the first are drawn by a hash.
-            order = F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep")
-            centres = labelled.groupBy("key").agg(F.min(F.struct(order.alias("o"), "rep", "part")).alias("c"))
-            pairs = labelled.join(centres, "key").where("part <> c.part").select(F.greatest("rep", "c.rep").alias("rep"), F.least("rep", "c.rep").alias("c_rep"))
-        else:
-            other = labelled.select("key", F.col("rep").alias("c_rep"), F.col("part").alias("c_part"))
-            pairs = labelled.join(other, "key").where("c_rep < rep and part <> c_part").select("rep", "c_rep")
-        near = links(pairs)
-        found = near if found is None else found.unionByName(near)
-    else:
-        parts = connected_components(found, "rep", "c_rep")
-    out = heads.join(parts, heads.rep == parts.id, "left").select("same", F.coalesce("component", "rep").alias("component"))
-    return known.join(out, "same").select(F.col("id").alias(id), "component")
+        last = turn == len(CENTRES) - 1
+        large = waiting.where(F.col("n") > SMALL) if last else waiting
+        order = F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep")
+        salt = F.pmod(F.xxhash64("rep", F.lit(turn + 100)), F.lit(many))
+        first = F.min(F.struct(order.alias("o"), "rep", "part"))
+        centres = cut(large.groupBy("key", salt.alias("salt")).agg(first.alias("c")).select("key", F.col("c.rep").alias("c_rep"), F.col("c.part").alias("c_part")), "centres")
+        pairs = large.join(centres, "key").where("part <> c_part").select("rep", "part", "c_rep", "c_part")
+        if last:
+            few = waiting.where(F.col("n") <= SMALL)
+            other = few.select("key", F.col("rep").alias("c_rep"), F.col("part").alias("c_part"))
+            pairs = pairs.unionByName(few.join(other, "key").where("c_rep < rep and part <> c_part").select("rep", "part", "c_rep", "c_part"))
+        found = cut(links(pairs), "links")
+        steps.append(cut(connected_components(found, "part", "c_part"), "parts"))
+        drop_cut(centres)
+        drop_cut(found)
+    drop_cut(waiting)
+    drop_cut(sets)
+    out = heads.withColumn("component", F.col("rep"))
+    for step in steps:
+        out = out.join(step.select(F.col("id").alias("component"), F.col("component").alias("_to")), "component", "left").select("same", F.coalesce("_to", "component").alias("component"))
+    return known.select("id", "same").join(out.select("same", "component"), "same").select(F.col("id").alias(id), "component")

@@ -6,8 +6,8 @@ weight of a feature at exactly zero until enough evidence has gathered, so the
 fitted model is a short list of (feature, weight) that is broadcast for scoring.
 
 The model is fitted on the driver from a bounded sample of labelled rows
-(``max_rows`` rows of at most ``max_chars`` characters each); every text is
-scored whole, wherever it lies.
+(``max_rows`` rows of at most ``max_chars`` characters each, ``max_total`` in
+all); every text is scored whole, wherever it lies and however long it is.
 """
 
 from __future__ import annotations
@@ -19,11 +19,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import PUNCTUATION, chunks, hash_words, mix
+from .common import PUNCTUATION, chunks, hash_words, labelled_sample, mix
 
 BITS = 21
-#: Bounds of the fitting sample: rows, and characters of a row that may be in it.
-MAX_ROWS, MAX_CHARS = 12_000, 20_000
+#: Bounds of the fitting sample: rows, characters of a row that may be in it, and characters of all rows.
+MAX_ROWS, MAX_CHARS, MAX_TOTAL = 12_000, 20_000, 32_000_000
 
 
 def features(texts: list, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -105,25 +105,21 @@ def held_out(id: Column) -> Column:
     return F.crc32(F.coalesce(id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> Model:
+def fit(
+    docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS, max_total: int = MAX_TOTAL
+) -> Model:
     """Fit on labelled rows that are not held out.
 
-    The sample is the ``max_rows`` labelled ids of least hash; those with a text
-    of over ``max_chars`` characters, a null label or no text are left out of
-    the sample. An id that has several labels counts as 1 if any of them is 1.
+    The sample is that of :func:`.common.labelled_sample`; rows with a null
+    label or id are left out. An id that has several labels counts as 1 if any of
+    them is 1.
     """
-    sample = (
-        labels.where(F.col(label).isNotNull() & F.col(id).isNotNull() & ~held_out(F.col(id)))
-        .groupBy(F.col(id).alias("id"))
-        .agg(F.max(F.col(label).cast("int")).alias("label"))
-        .orderBy(F.xxhash64("id"), "id")
-        .limit(max_rows)
-    )
-    texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    # max_rows rows of two numbers: bounded, whatever the corpus
-    rows = texts.join(F.broadcast(sample), "id").select("id", "text", "label").toPandas().sort_values(["id", "text"], kind="stable")
-    rows = rows.drop_duplicates(["id"]).head(max_rows)
-    return ftrl([f for _, part in chunks(rows.text) for f in presence(part)], rows.label.tolist())
+    marked = labels.where(F.col(label).isNotNull() & F.col(id).isNotNull() & ~held_out(F.col(id))).groupBy(F.col(id).alias("id")).agg(F.max(F.col(label).cast("int")).alias("label"))
+    examples, answers = [], []
+    for texts, values in labelled_sample(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), marked, "text", max_rows, max_chars, max_total):
+        examples += [f for _, part in chunks(texts) for f in presence(part)]
+        answers += values
+    return ftrl(examples, answers)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
