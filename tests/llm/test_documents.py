@@ -368,6 +368,50 @@ def test_rarest_seeds_are_disjoint_and_least():
     assert all(b - a >= 2 for a, b in zip(starts, starts[1:])) and sum(df[starts]) == 1
 
 
+def test_rarest_seeds_of_a_long_item():
+    rng = np.random.default_rng(5)
+    for m in (1_500, 20_000, 200_000):
+        n, seeds = decontaminate.seed_plan(m)
+        starts = decontaminate.rarest(rng.integers(0, 50, m - n + 1).astype(float), n, seeds)
+        assert len(starts) == seeds and min(np.diff(starts)) >= n and starts[0] >= 0 and starts[-1] + n <= m
+
+
+def test_short_items_match_whole_texts_only(spark):
+    docs = spark.createDataFrame([(1, "Yes"), (2, "yes, and more"), (3, "so it is"), (4, "well so it is then")], "doc_id bigint, text string").withColumn("matches", F.lit(1))
+    bench = spark.createDataFrame([(1, "yes"), (2, "So it is."), (None, "yes")], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(1, 1), (1, None), (3, 2)}
+    left = decontaminate.clean(docs, bench)
+    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {2, 4}
+
+
+def test_matches_are_those_of_all_alignments(spark):
+    """Every pair of text and item, aligned by the plain recurrence, against what the seeds find."""
+    rng = random.Random(17)
+    say = lambda n: [f"v{rng.randrange(60)}" for _ in range(n)]
+    items = [say(rng.randrange(6, 40)) for _ in range(20)]
+    texts = []
+    for n in range(160):
+        w = list(items[n % 20])
+        for _ in range(rng.randrange(int(0.3 * len(w)) + 1)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randrange(2)] = say(rng.randrange(2))
+        texts.append(say(rng.randrange(15)) + w + say(rng.randrange(15)))
+
+    def similarity(a, b):
+        h = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                h[i, j] = max(0, h[i - 1, j - 1] + (1 if a[i - 1] == b[j - 1] else -1), h[i - 1, j] - 1, h[i, j - 1] - 2)
+        return (h.max() / len(a) + 1) / 2
+
+    want = {(t, k): s for t, x in enumerate(texts) for k, item in enumerate(items) if (s := similarity(item, x)) >= 0.8 - 1e-9}
+    docs = spark.createDataFrame([(t, " ".join(x)) for t, x in enumerate(texts)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+
+
 def test_packing(spark, docs, local):
     from tokenizers import Tokenizer
 
