@@ -100,44 +100,82 @@ def canonical_turns(df: DataFrame, id: str = "conv_id") -> DataFrame:
     return each.select("conv_id", "t.turn", F.coalesce("t.role", F.lit("")).alias("role"), F.coalesce("t.text", F.lit("")).alias("text"))
 
 
+def record_layout(record: Column) -> Column:
+    """Name of the layout that a JSON object's field paths select, null if none does.
+
+    The exact fingerprint decides. With further fields, beside the layout's or
+    inside its messages, the layout with the most fields among those whose every
+    field is there is taken; for an empty list of messages the list's name is
+    enough. As :func:`layout_of` does for a table.
+    """
+
+    def chosen(x: Column) -> Column:
+        out = F.lit(None).cast("string")
+        fitting = sorted(((len(p), name) for name, (p, _) in LAYOUTS.items() if name != "turn_rows"))
+        for _, name in fitting:
+            fields = LAYOUTS[name][0]
+            bare = sorted({f.split("[]")[0] for f in fields if "[]" in f})
+            has = F.size(F.array_except(F.array(*map(F.lit, fields)), x.paths)) == 0
+            out = F.when(has | (F.arrays_overlap(x.empty, F.array(*map(F.lit, bare))) if bare else F.lit(False)), F.lit(name)).otherwise(out)
+        exact = F.create_map(*(F.lit(v) for name, (p, _) in LAYOUTS.items() if name != "turn_rows" for v in (fingerprint(p), name)))
+        return F.coalesce(F.element_at(exact, _hashed(x.paths)), out)
+
+    return F.transform(F.array(_paths(record)), chosen)[0]
+
+
 def json_turns(df: DataFrame, record: str = "record", id: str = "conv_id") -> DataFrame:
     """As :func:`canonical_turns` for a column of JSON objects, each with a layout of its own.
 
-    The fingerprint of a record hashes its own field paths; records of no known
-    layout give no rows (see :func:`record_fingerprint` to count them).
+    Records of no known layout have no turns; :func:`json_layouts` counts them. A
+    known layout with an empty list has none either. The table is read once.
     """
     types = {
         "messages": "messages array<struct<role:string,content:string>>",
         "share": "conversations array<struct<`from`:string,value:string>>",
     }
-    parts = []
-    marked = df.select(F.col(id).cast("bigint").alias("conv_id"), F.col(record).alias("r")).withColumn("f", record_fingerprint(F.col("r")))
+    marked = df.select(F.col(id).cast("bigint").alias("conv_id"), F.col(record).alias("r")).withColumn("layout", record_layout(F.col("r")))
+    turns = F.lit(None).cast(f"array<{TURN}>")
     for name, (paths, mapping) in LAYOUTS.items():
-        if name == "turn_rows":
-            continue
-        ddl = types.get(name) or ", ".join(f"{p} string" for p in paths)
-        parsed = marked.where(F.col("f") == fingerprint(paths)).withColumn("j", F.from_json("r", ddl))
-        parts.append(parsed.select("conv_id", F.explode(mapping(lambda n: F.col("j")[n])).alias("t")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        if name != "turn_rows":
+            ddl = types.get(name) or ", ".join(f"{p} string" for p in paths)
+            turns = F.when(F.col("layout") == name, _mapped(F.from_json("r", ddl), mapping)).otherwise(turns)
+    out = marked.select("conv_id", F.explode(turns).alias("t"))
     return out.select("conv_id", "t.turn", F.coalesce("t.role", F.lit("")).alias("role"), F.coalesce("t.text", F.lit("")).alias("text"))
 
 
+def _mapped(parsed: Column, mapping) -> Column:
+    return F.transform(F.array(parsed), lambda j: mapping(lambda n: j[n]))[0]
+
+
+def json_layouts(df: DataFrame, record: str = "record") -> DataFrame:
+    """Rows (fingerprint, layout, records): what layouts a column of JSON objects has; layout is null if unknown."""
+    each = df.select(record_fingerprint(F.col(record)).alias("fingerprint"), record_layout(F.col(record)).alias("layout"))
+    return each.groupBy("fingerprint", "layout").agg(F.count("*").alias("records"))
+
+
+def _paths(record: Column) -> Column:
+    """Struct (paths, empty) of a JSON object: its field paths, two levels deep over all members of a list, and its empty lists."""
+    listed = lambda v: F.from_json(v, "array<string>")
+    pairs = F.map_entries(F.from_json(record, "map<string,string>"))
+
+    def of(e: Column) -> Column:
+        name, is_list = F.lower(e.key), F.startswith(F.ltrim(e.value), F.lit("["))
+        inner = F.array_distinct(F.flatten(F.transform(listed(e.value), lambda m: F.coalesce(F.json_object_keys(m), F.array().cast("array<string>")))))
+        below = F.transform(inner, lambda m: F.concat(name, F.lit("[]."), F.lower(m)))
+        return F.when(is_list & (F.size(inner) > 0), below).otherwise(F.array(name))
+
+    paths = F.array_sort(F.array_distinct(F.flatten(F.transform(pairs, of))))
+    empty = F.transform(F.filter(pairs, lambda e: F.regexp_like(e.value, F.lit(r"^\s*\[\s*\]\s*$"))), lambda e: F.lower(e.key))
+    return F.struct(F.when(F.json_object_keys(record).isNotNull(), paths).alias("paths"), F.when(F.json_object_keys(record).isNotNull(), empty).alias("empty"))
+
+
+def _hashed(paths: Column) -> Column:
+    return F.substring(F.sha2(F.array_join(paths, "\n").cast("binary"), 256), 1, 16)
+
+
 def record_fingerprint(record: Column) -> Column:
-    """Fingerprint of a JSON object's field paths, two levels deep; null if it is no object."""
-    known = lambda v: F.array_sort(F.json_object_keys(v))
-    top = known(record)
-    paths = F.flatten(
-        F.transform(
-            top,
-            lambda k: F.when(
-                F.substring(F.ltrim(F.call_function("get_json_object", record, F.concat(F.lit("$['"), k, F.lit("']")))), 1, 1) == "[",
-                F.transform(known(F.call_function("get_json_object", record, F.concat(F.lit("$['"), k, F.lit("'][0]")))), lambda m: F.concat(F.lower(k), F.lit("[]."), F.lower(m))),
-            ).otherwise(F.array(F.lower(k))),
-        )
-    )
-    return F.substring(F.sha2(F.array_join(F.array_sort(paths), "\n").cast("binary"), 256), 1, 16)
+    """Fingerprint of a JSON object's field paths, two levels deep over all members of a list; null if it is no object."""
+    return _hashed(_paths(record).paths)
 
 
 def escape(text: Column) -> Column:
@@ -161,7 +199,8 @@ def format_pieces(turns: DataFrame) -> DataFrame:
     A piece holds the turns of ``PIECE`` consecutive turn numbers, so the turns of
     a very long conversation are gathered by the piece; a conversation is its
     pieces in order. Turns with equal numbers are ordered by role, then text;
-    turns without a number come first. ``loss`` has the (start, end) code points
+    turns without a number come first and are one piece, as they have no order
+    but that of their texts. ``loss`` has the (start, end) code points
     of assistant texts in ``formatted``, end exclusive.
     """
     piece = F.coalesce(F.floor(F.col("turn") / PIECE), F.lit(-(1 << 62))).cast("bigint")

@@ -34,6 +34,8 @@ BLOCK = set(
     " h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul".split()
 )
 CHROME = set("nav footer aside form button dialog menu fieldset annotation annotation-xml".split())
+#: Of these, what may hold a whole page.
+WRAPS = {"form", "fieldset"}
 CHROME_WORDS = set(
     "ad ads advert adverts advertisement advertising adbox banner sponsor sponsored sponsors promo promotion promoted nav navbar navigation menu"
     " breadcrumb breadcrumbs sidebar sidenav footer cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter"
@@ -55,7 +57,9 @@ _TOKEN = re.compile(
     r"|<[!?][^>]*>",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|itemprop)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: Attributes one after another: a value cannot be taken for a name, nor a part of a name for the whole.
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_READ = {"class", "id", "role", "hidden", "aria-hidden", "itemprop"}
 _PARTS = re.compile(r"[-_]+")
 
 
@@ -65,11 +69,13 @@ def _kind(tag: str, attributes: str, in_main: bool, first: bool) -> str | None:
     ``first``: the page has shown no main part yet; then article and main are one whatever their class words.
     """
     if tag in CHROME or (tag == "header" and not in_main):
-        return "chrome"
+        return "words" if tag in WRAPS else "chrome"
     found = None
     if attributes and not attributes.isspace():
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), (a or b or c).lower()
+            if name not in _READ:
+                continue
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
                 return "chrome"
             if name == "role":

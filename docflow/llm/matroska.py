@@ -24,8 +24,11 @@ from pyspark.sql import functions as F
 EBML, SEGMENT, INFO, SCALE, TRACKS, TRACK, CLUSTER, CLUSTER_TIME = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x2AD7B1, 0x1654AE6B, 0xAE, 0x1F43B675, 0xE7
 SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, CUES, CUE_POINT = 0xA3, 0xA0, 0xA1, 0x1C53BB6B, 0xBB
 NUMBER, UID, TYPE, CODEC, AUDIO, RATE, CHANNELS, DEPTH = 0xD7, 0x73C5, 0x83, 0x86, 0xE1, 0xB5, 0x9F, 0x6264
+FRAME_TIME, SEEK_HEAD, CHAPTERS, TAGS, ATTACHMENTS = 0x23E383, 0x114D9B74, 0x1043A770, 0x1254C367, 0x1941A469
 CUE_TIME, CUE_PLACES, CUE_TRACK, CUE_CLUSTER = 0xB3, 0xB7, 0xF7, 0xF1
-MASTERS = {SEGMENT, TRACKS, TRACK, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_PLACES, AUDIO, INFO}
+#: Elements that end an element of unknown size before them, by the element that they lie in.
+TOP = {SEGMENT, EBML}
+IN_SEGMENT = {SEEK_HEAD, INFO, TRACKS, CLUSTER, CUES, CHAPTERS, TAGS, ATTACHMENTS}
 
 UNIT, FRAME, FRAMES, BLOCKS = 64, 4096, 8, 8
 PER_SECOND = 8000
@@ -71,64 +74,125 @@ class Packet:
 
 @dataclass
 class Media:
+    """What a file holds; ``cut`` tells that it ends or breaks off before its elements do."""
+
     scale: int = 1_000_000
+    cut: bool = False
     tracks: dict = field(default_factory=dict)
     packets: list = field(default_factory=list)
     cues: list = field(default_factory=list)
 
 
-def elements(data, at: int, end: int):
-    """(id, body start, body end) of the elements side by side in a range."""
+def elements(data, at: int, end: int, enders=frozenset(), found: Media | None = None):
+    """(id, body start, body end) of the elements side by side in a range.
+
+    An element of unknown size, as live streams have them, ends before the first
+    element of ``enders`` in it. With ``found``, an element that runs over the
+    end is given as far as it goes and noted there; without, it is an error.
+    """
     while at < end:
-        id, at = read_vint(data, at, keep_marker=True)
-        size, at = read_vint(data, at)
-        stop = end if size is None else at + size
-        if stop > end:
-            raise ValueError(f"element {id:x} runs over its parent's end")
-        yield id, at, stop
+        try:
+            id, body = read_vint(data, at, keep_marker=True)
+            size, body = read_vint(data, body)
+            if body > end:
+                raise ValueError(f"element at {at} runs over its parent's end")
+        except (ValueError, IndexError):
+            if found is None:
+                raise
+            found.cut = True
+            return
+        if size is None:
+            stop = _unknown_end(data, body, end, enders)
+        else:
+            stop = body + size
+            if stop > end:
+                if found is None:
+                    raise ValueError(f"element {id:x} runs over its parent's end")
+                found.cut, stop = True, end
+        yield id, body, stop
         at = stop
 
 
+def _unknown_end(data, at: int, end: int, enders) -> int:
+    """Where an element of unknown size ends: before the first of ``enders`` that follows in it."""
+    while at < end:
+        try:
+            id, body = read_vint(data, at, keep_marker=True)
+            if id in enders:
+                return at
+            size, body = read_vint(data, body)
+        except (ValueError, IndexError):
+            return end
+        if size is None:
+            return end
+        at = body + size
+    return end
+
+
 def parse(data: bytes) -> Media:
-    """Tracks, packets and cues of a Matroska file; ValueError if it is cut off or malformed."""
+    """Tracks, packets and cues of a Matroska file.
+
+    A file that is cut off gives the packets whose frames are whole before the
+    cut, and ``cut``. ValueError if the first element is no EBML head or a block
+    in a whole cluster is malformed.
+    """
     out, view = Media(), memoryview(data)
     number = lambda a, b: int.from_bytes(view[a:b], "big")
-    for id, a, b in elements(view, 0, len(view)):
+    if len(view) < 4 or number(0, 4) != EBML:
+        raise ValueError("no EBML head")
+    for id, a, b in elements(view, 0, len(view), TOP, out):
         if id != SEGMENT:
             continue
-        for kind, c, d in elements(view, a, b):
-            if kind == INFO:
-                out.scale = next((number(x, y) for k, x, y in elements(view, c, d) if k == SCALE), out.scale)
-            elif kind == TRACKS:
-                for k, x, y in elements(view, c, d):
-                    if k == TRACK:
+        for kind, c, d in elements(view, a, b, IN_SEGMENT | TOP, out):
+            before, broken = out.cut, None
+            try:
+                if kind == INFO:
+                    out.scale = next((number(x, y) for k, x, y in elements(view, c, d) if k == SCALE), out.scale)
+                elif kind == TRACKS:
+                    for k, x, y in elements(view, c, d):
+                        if k == TRACK:
+                            fields = {q: (r, s) for q, r, s in elements(view, x, y)}
+                            out.tracks[number(*fields[NUMBER])] = {
+                                "type": number(*fields[TYPE]),
+                                "codec": bytes(view[slice(*fields[CODEC])]).decode(),
+                                "frame_time": number(*fields[FRAME_TIME]) if FRAME_TIME in fields else 0,
+                            }
+                elif kind == CLUSTER:
+                    _cluster(view, c, d, out, number)
+                elif kind == CUES:
+                    for k, x, y in elements(view, c, d):
                         fields = {q: (r, s) for q, r, s in elements(view, x, y)}
-                        out.tracks[number(*fields[NUMBER])] = {"type": number(*fields[TYPE]), "codec": bytes(view[slice(*fields[CODEC])]).decode()}
-            elif kind == CLUSTER:
-                _cluster(view, c, d, out, number)
-            elif kind == CUES:
-                for k, x, y in elements(view, c, d):
-                    fields = {q: (r, s) for q, r, s in elements(view, x, y)}
-                    inner = {q: number(r, s) for q, r, s in elements(view, *fields[CUE_PLACES])}
-                    out.cues.append((number(*fields[CUE_TIME]), inner[CUE_TRACK], inner[CUE_CLUSTER] + a))
+                        inner = {q: number(r, s) for q, r, s in elements(view, *fields[CUE_PLACES])}
+                        out.cues.append((number(*fields[CUE_TIME]), inner[CUE_TRACK], inner[CUE_CLUSTER] + a))
+            except (ValueError, IndexError, KeyError, struct.error) as e:
+                broken = e
+            if broken is not None and not (before or d == len(view)):
+                raise ValueError(str(broken)) from broken
+            out.cut = out.cut or broken is not None
     return out
 
 
 def _cluster(view, at: int, end: int, out: Media, number) -> None:
     base = 0
-    for kind, a, b in elements(view, at, end):
+    for kind, a, b in elements(view, at, end, IN_SEGMENT | TOP, out):
         if kind == CLUSTER_TIME:
             base = number(a, b)
         elif kind == SIMPLE_BLOCK:
             _block(view, a, b, base, out, None)
         elif kind == BLOCK_GROUP:
-            for k, x, y in elements(view, a, b):
+            for k, x, y in elements(view, a, b, frozenset(), out):
                 if k == BLOCK:
                     _block(view, x, y, base, out, False)
 
 
 def _block(view, at: int, end: int, base: int, out: Media, key: bool | None) -> None:
-    """A block's frames: none laced, or laced by Xiph (1), equal size (2) or EBML (3) sizes."""
+    """A block's frames: none laced, or laced by Xiph (1), equal size (2) or EBML (3) sizes.
+
+    The first has the block's time, each further one is later by the track's
+    default duration of a frame, if it states one. Of a block that is cut off, an
+    unlaced frame is left out; sizes of a lace that do not fit are an error.
+    """
+    short = out.cut and end == len(view)
     track, at = read_vint(view, at)
     time = base + struct.unpack(">h", view[at : at + 2])[0]
     flags, at = view[at + 2], at + 3
@@ -157,10 +221,14 @@ def _block(view, at: int, end: int, base: int, out: Media, key: bool | None) ->
             sizes.append(end - at - sum(sizes))
     else:
         sizes = [end - at]
-    for n in sizes:
+    if short:
+        # The last frame, or each of equal size, has an unknown part missing.
+        sizes = sizes[:-1] if lacing in (1, 3) else []
+    step = out.tracks.get(track, {}).get("frame_time", 0) / out.scale
+    for k, n in enumerate(sizes):
         if n < 0 or at + n > end:
             raise ValueError("frames run over their block's end")
-        out.packets.append(Packet(track, time, at, at + n, bool(flags & 0x80) if key is None else key))
+        out.packets.append(Packet(track, time + round(k * step), at, at + n, bool(flags & 0x80) if key is None else key))
         at += n
 
 
@@ -236,7 +304,8 @@ PACKETS = "array<struct<track:int,time:bigint,start:bigint,end:bigint,key:boolea
 def packet_table(media: DataFrame, id: str = "doc_id", column: str = "media") -> DataFrame:
     """Rows (id, number, track, time, start, end, key), one for each frame of each file.
 
-    A null or malformed file gives no rows.
+    A null file gives no rows, a malformed one none either, and one that is cut
+    off those of its whole frames before the cut. Ids may repeat or be null.
     """
 
     @F.pandas_udf(PACKETS)
