@@ -148,8 +148,12 @@ def chunks(text: Column, budget: int = 2000) -> Column:
     return F.aggregate(parts, F.array().cast("array<string>"), lambda acc, p: F.when(F.size(acc) == 0, F.array(p)).otherwise(merge(acc, p)))
 
 
-# Abbreviations after which a period ends no sentence.
-ABBREVIATIONS = ("fig", "figs", "eq", "eqs", "tab", "sec", "ref", "refs", "vol", "no", "pp", "al", "etc", "vs", "cf", "dr", "mr", "mrs", "ms", "prof", "inc", "ltd", "e.g", "i.e", "approx", "dept", "est", "st")
+# Abbreviations and titles after which a period ends no sentence.
+ABBREVIATIONS = (
+    "e.g", "i.e", "etc", "vs", "cf", "al", "fig", "figs", "tab", "tabs", "eq", "eqs", "sec", "ref", "refs", "no", "nos",
+    "vol", "pp", "ed", "eds", "dept", "est", "approx", "min", "max", "avg", "viz", "et",
+    "mr", "mrs", "ms", "dr", "prof", "sr", "jr", "st",
+)
 
 
 def sentence_spans(text: str) -> list[tuple[int, int]]:

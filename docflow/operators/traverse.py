@@ -11,42 +11,53 @@ from .components import connected_components
 __all__ = ["closure", "connected_components", "cyclic_nodes", "leaves", "levels", "ready", "roots", "walk"]
 
 
-def closure(edges: DataFrame, starts: DataFrame, max_depth: int = 1000) -> DataFrame:
+def closure(edges: DataFrame, starts: DataFrame, max_depth: int = 10_000) -> DataFrame:
     """Rows (id, depth): what ``starts`` (id) reach along edges (src, dst), with the fewest steps.
 
     Semi-naive: only what the last step found is joined again, and known nodes
-    are dropped by an anti join, so cycles end.
+    are dropped by an anti join, so cycles end. More than ``max_depth`` steps are
+    an error, not a shorter answer.
     """
-    edges = edges.select("src", "dst").distinct()
+    edges = cut(edges.select("src", "dst").distinct(), "edges")
     seen = cut(starts.select("id").distinct().withColumn("depth", F.lit(0)), "closure")
     frontier = seen
     for depth in range(1, max_depth + 1):
         step = edges.join(frontier, edges.src == frontier.id, "left_semi").select(F.col("dst").alias("id")).distinct()
-        frontier = cut(step.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
+        frontier = cut(step.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
         if not frontier.take(1):
             break
         seen = seen.unionByName(frontier)
         if depth % 8 == 0:
             seen = cut(seen, "closure")
+    else:
+        raise RuntimeError(f"more than {max_depth} steps")
     return seen
 
 
-def levels(nodes: DataFrame, edges: DataFrame, max_depth: int = 1000) -> DataFrame:
-    """Rows (id, level): topological levels; nodes on or behind a cycle are left out."""
-    rest_nodes = cut(nodes.select("id").distinct(), "nodes")
-    rest_edges = cut(edges.select("src", "dst").distinct(), "edges")
-    out = None
-    for level in range(max_depth):
-        free = cut(rest_nodes.join(rest_edges.select(F.col("dst").alias("id")), "id", "left_anti").withColumn("level", F.lit(level)), "level")
-        if not free.take(1):
-            break
-        out = free if out is None else out.unionByName(free)
-        left_nodes, left_edges = rest_nodes.join(free, "id", "left_anti"), rest_edges.join(free.select(F.col("id").alias("src")), "src", "left_anti").select("src", "dst")
-        next_nodes, next_edges = cut(left_nodes, "nodes"), cut(left_edges, "edges")
-        drop_cut(rest_nodes)
-        drop_cut(rest_edges)
-        rest_nodes, rest_edges = next_nodes, next_edges
-    return out if out is not None else rest_nodes.withColumn("level", F.lit(0)).limit(0)
+def levels(nodes: DataFrame, edges: DataFrame, max_depth: int = 10_000) -> DataFrame:
+    """Rows (id, level): topological levels; nodes on or behind a cycle are left out.
+
+    Each step counts, for the targets of the last level only, how many of their
+    sources are placed; what has all of them is the next level. Nodes and edges
+    are written once. More than ``max_depth`` levels are an error.
+    """
+    known = cut(nodes.select("id").distinct(), "nodes")
+    edges = cut(edges.select("src", "dst").distinct().join(known.select(F.col("id").alias("dst")), "dst", "left_semi"), "edges")
+    wanted = cut(edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n")), "degrees")
+    front = out = cut(known.join(wanted.select("id"), "id", "left_anti").withColumn("level", F.lit(0)), "level")
+    partly = None
+    for level in range(1, max_depth + 1):
+        met = edges.join(front.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("met"))
+        if partly is not None:
+            met = met.unionByName(partly).groupBy("id").agg(F.sum("met").alias("met"))
+        state = cut(met.join(wanted, "id"), "met")
+        front, partly = state.where("met = n").select("id", F.lit(level).alias("level")), state.where("met < n").select("id", "met")
+        if not front.take(1):
+            return out
+        out = out.unionByName(front)
+        if level % 16 == 0:
+            out = cut(out, "level")
+    raise RuntimeError(f"more than {max_depth} levels")
 
 
 def cyclic_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -70,10 +81,11 @@ def ready(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.where("dirty").join(blocked, "id", "left_anti").select("id")
 
 
-def walk(edges: DataFrame, starts: DataFrame, max_depth: int = 64) -> DataFrame:
+def walk(edges: DataFrame, starts: DataFrame, max_depth: int = 1000) -> DataFrame:
     """Rows (id, path, depth) of a tree in pre-order: sort by ``path``, an array of (seq, id) from the top.
 
-    ``edges`` has (src, dst, seq); ``seq`` orders children.
+    ``edges`` has (src, dst, seq); ``seq`` orders children. A tree of more than
+    ``max_depth`` levels, as any cycle is, is an error.
     """
     step = starts.select("id", F.array(F.struct(F.lit(0).cast("bigint").alias("seq"), F.col("id"))).alias("path"), F.lit(0).alias("depth"))
     out = step = cut(step, "walk")
@@ -83,4 +95,8 @@ def walk(edges: DataFrame, starts: DataFrame, max_depth: int = 64) -> DataFrame:
         if not step.take(1):
             break
         out = out.unionByName(step)
+        if depth % 16 == 0:
+            out = cut(out, "walk")
+    else:
+        raise RuntimeError(f"more than {max_depth} levels")
     return out

@@ -97,13 +97,16 @@ def undo_last(edits: DataFrame, node: str, order: list[str]) -> DataFrame:
     return versions(edits, node, order).where(~F.col("current")).drop("version", "current")
 
 
-def section_parents(headings: DataFrame, by: str, order: str, level: str = "level", max_level: int = 6) -> DataFrame:
-    """``headings`` with ``parent``: the latest earlier heading of a lower level, by one running value per level."""
+def section_parents(headings: DataFrame, by: str, order: str, level: str = "level") -> DataFrame:
+    """``headings`` with ``parent``: the latest earlier heading of a lower level, whatever the number of levels.
+
+    One running value per level that occurs gives the latest heading of it.
+    """
     w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    best = F.lit(None)
-    for k in range(2, max_level + 1):
-        under = F.last(F.when(F.col(level) < k, F.col(order)), ignorenulls=True).over(w)
-        best = F.when(F.col(level) == k, under).otherwise(best)
+    depths = sorted(r[0] for r in headings.select(level).where(F.col(level).isNotNull()).distinct().collect())  # levels, not rows
+    last = [F.last(F.when(F.col(level) == k, F.col(order)), ignorenulls=True).over(w) for k in depths]
+    lower = [F.when(F.col(level) > k, x) for k, x in zip(depths, last)]
+    best = F.greatest(*lower) if len(lower) > 1 else (lower[0] if lower else F.lit(None).cast("bigint"))
     return headings.withColumn("parent", best)
 
 

@@ -105,9 +105,30 @@ def to_dot(edges: DataFrame) -> DataFrame:
 
 # The three templates of the synthetic corpus, (text, type, x, y).
 TEMPLATES = (
-    (("Abstract", "heading", 72, 60), ("Left column", "paragraph", 72, 100), ("Right column", "paragraph", 320, 100), ("1 Introduction", "heading", 72, 140)),
-    (("Chapter 1", "heading", 72, 60), ("Definition 1.1", "paragraph", 72, 100), ("x = y + z", "formula", 72, 140), ("Exercises", "heading", 72, 180)),
-    (("Figure 1: overview", "caption", 72, 300), ("plot", "figure", 72, 60), ("Figure 2: detail", "caption", 72, 600), ("Results", "heading", 72, 640)),
+    (
+        ("A Two-Column Study", "heading", 72, 60),
+        ("We study a new method.", "paragraph", 72, 90),
+        ("Left column paragraph one.", "paragraph", 72, 130),
+        ("Right column paragraph one.", "paragraph", 340, 130),
+        ("Figure 1: Overview.", "caption", 72, 300),
+        ("References go here.", "reference", 72, 500),
+    ),
+    (
+        ("Chapter 1", "heading", 72, 60),
+        ("Definition and theorem.", "paragraph", 72, 100),
+        ("E = mc^2", "formula", 72, 170),
+        ("Caption of the example.", "caption", 72, 220),
+        ("Proof sketch.", "paragraph", 72, 260),
+        ("List item A, list item B.", "list", 72, 320),
+    ),
+    (
+        ("Figure Heavy Document", "heading", 72, 60),
+        ("Figure 1", "figure", 72, 100),
+        ("Fig 1 caption.", "caption", 72, 260),
+        ("Table 1", "table", 72, 320),
+        ("Tab 1 caption.", "caption", 72, 420),
+        ("Body text after the figure.", "paragraph", 72, 470),
+    ),
 )
 
 

@@ -245,3 +245,25 @@ def test_streams_equal_batch(spark, tmp_path):
     log.dispatch(events, {"ok": (log.matches(["view"]), lambda b: b.write.mode("append").parquet(str(tmp_path / "ok"))), "bad": (log.matches(task=1), lambda b: 1 / 0)}, str(tmp_path / "dead"), str(tmp_path / "cp3"))
     assert spark.read.parquet(str(tmp_path / "ok")).count() == rows.where("event_type = 'view'").count()
     assert spark.read.parquet(str(tmp_path / "dead")).count() == rows.where("user_id = 1").count()
+
+
+def test_loops_that_do_not_settle_are_errors(spark):
+    chain = spark.createDataFrame([(k, k + 1, 0) for k in range(6)], "src bigint, dst bigint, seq int")
+    top, nodes = spark.createDataFrame([(0,)], "id bigint"), spark.range(7)
+    assert traverse.closure(chain, top).count() == 7 and traverse.levels(nodes, chain).agg({"level": "max"}).first()[0] == 6
+    assert traverse.walk(chain, top).count() == 7
+    for call in (lambda: traverse.closure(chain, top, 3), lambda: traverse.levels(nodes, chain, 3), lambda: traverse.walk(chain, top, 3)):
+        with pytest.raises(RuntimeError):
+            call()
+
+
+def test_levels_of_a_graph_with_cycles_and_strangers(spark):
+    edges = spark.createDataFrame([(0, 1), (0, 2), (1, 3), (2, 3), (3, 4), (4, 3), (9, 2), (1, 1), (5, 6), (5, 6)], "src bigint, dst bigint")
+    got = {r.id: r.level for r in traverse.levels(spark.range(7), edges).collect()}
+    assert got == {0: 0, 5: 0, 6: 1}
+
+
+def test_sections_of_any_depth(spark):
+    rows = [(1, k, k + 1) for k in range(12)] + [(1, 12, 9), (1, 13, 1), (1, 14, 30)]
+    got = {r.i: r.parent for r in windows.section_parents(spark.createDataFrame(rows, "d int, i int, level int"), "d", "i").collect()}
+    assert got == {0: None} | {k: k - 1 for k in range(1, 12)} | {12: 7, 13: None, 14: 13}
