@@ -138,18 +138,20 @@ def score(docs: DataFrame, model: Model, text: str = "text", tail: int = 1) -> D
     return docs.withColumn("_q", of(F.col(text))).withColumns({"expected_grade": F.col("_q.expected_grade"), "tail_probability": F.col("_q.tail_probability")}).drop("_q")
 
 
-#: Grades of the labels table: 0 poor, 1 good but toxic, 2 good.
-GRADES = 3
+#: Grades of the labels table: its quality, 0 or 1. It has no finer ones; :func:`fit` takes any number of them.
+GRADES = 2
 
 
 def label_grade() -> Column:
-    return F.when(F.col("quality") == 0, 0).when(F.coalesce(F.col("toxic"), F.lit(0)) == 1, 1).when(F.col("quality") == 1, 2)
+    return F.col("quality").cast("int")
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (id, held_out, expected_grade, tail_probability, keep), one for each row of ``docs``.
 
-    ``keep`` is 1 where a grade above the lowest is as likely as not.
+    ``keep`` is 1 where a grade above the lowest is as likely as not. Null, empty
+    and blank texts are graded as a text without words, very long ones whole;
+    repeated rows give repeated rows, an empty table none.
     """
     scored = score(docs.select(id, text), fit(docs, labels, label_grade(), GRADES, id, text), text)
     return scored.select(id, held_out(F.col(id)).alias("held_out"), "expected_grade", "tail_probability", (F.col("tail_probability") >= 0.5).cast("int").alias("keep"))

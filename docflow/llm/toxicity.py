@@ -136,6 +136,10 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows ``(id, held_out, score, predicted)``, one for each row of ``docs``."""
+    """Rows ``(id, held_out, score, predicted)``, one for each row of ``docs``.
+
+    Repeated rows, null ids and null texts have rows like any other, an empty
+    table has none. Columns of other names are not read.
+    """
     scored = score(docs.select(id, text), fit(docs, labels, id, text), text)
     return scored.select(id, held_out(F.col(id)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -166,13 +166,73 @@ def test_ftrl_leaves_noise_at_zero():
     assert m.weight[m.index.tolist().index(1)] > 2 and len(m.index) < 60
 
 
+def test_ftrl_equals_plain_recurrence():
+    """One number at a time, in dictionaries, in the order that the fit draws."""
+    rng = np.random.default_rng(4)
+    x = [np.unique(rng.integers(0, 60, 12)) for _ in range(80)]
+    y = [int(3 in f or 7 in f) for f in x]
+    alpha, beta, l1, l2, epochs = 0.5, 1.0, 1.5, 1.0, 3
+    got = toxicity.ftrl(x, y, 6, alpha, beta, l1, l2, epochs)
+    z, n, bz, bn = dict.fromkeys(range(64), 0.0), dict.fromkeys(range(64), 0.0), 0.0, 0.0
+
+    def weight(k):
+        return 0.0 if abs(z[k]) <= l1 else -(z[k] - math.copysign(l1, z[k])) / ((beta + math.sqrt(n[k])) / alpha + l2)
+
+    order = np.random.default_rng(7).permutation(80)
+    for _ in range(epochs):
+        for e in order:
+            w, wb = {int(k): weight(int(k)) for k in x[e]}, -bz / ((beta + math.sqrt(bn)) / alpha)
+            g = 1 / (1 + math.exp(-sum(w.values()) - wb)) - y[e]
+            for k in w:
+                step = (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / alpha
+                z[k] += g - step * w[k]
+                n[k] += g * g
+            bz += g - (math.sqrt(bn + g * g) - math.sqrt(bn)) / alpha * wb
+            bn += g * g
+    want = {k: weight(k) for k in range(64) if weight(k)}
+    assert want and dict(zip(got.index.tolist(), got.weight.tolist())) == pytest.approx(want)
+    assert got.bias == pytest.approx(-bz / ((beta + math.sqrt(bn)) / alpha))
+
+
+def test_fitting_sample_is_bounded(spark):
+    """One text per id, however often an id stands in the table, and no more characters than allowed."""
+    docs = spark.createDataFrame([(k % 50, f"text {k} " + "x" * (k % 7)) for k in range(2000)] + [(60, None), (61, "y" * 500)], "id bigint, text string")
+    marked = spark.range(62).select("id", (F.col("id") % 2).cast("int").alias("label"))
+    parts = list(common.labelled_sample(docs, marked, "text", 40, 100, 10**6))
+    assert sum(len(a) for a, _ in parts) <= 40 and all(len(a) == len(b) for a, b in parts)
+    few = [t for a, _ in common.labelled_sample(docs, marked, "text", 60, 100, 120) for t in a]
+    assert 0 < sum(map(len, few)) <= 120
+    assert list(common.labelled_sample(docs.limit(0), marked, "text", 40, 100, 100)) == []
+
+
+def test_ordinal_step_follows_the_likelihood():
+    """The fitted thresholds and weights make the graded likelihood better than their neighbours do."""
+    rng = np.random.default_rng(6)
+    x = [(np.array([k]), np.array([1.0])) for k in rng.integers(0, 3, 900)]
+    grades = [min(2, max(0, int(f[0]) + int(rng.integers(-1, 2)) * int(rng.random() < 0.3))) for f, _ in x]
+    m = quality.fit_ordinal(x, grades, 3, bits=2, epochs=30, rate=0.1)
+    share = len(grades) / np.bincount(grades, minlength=3) / 3
+
+    def loss(weights, cuts):
+        total = 0.0
+        for (f, _), g in zip(x, grades):
+            p = np.concatenate([[0.0], 1 / (1 + np.exp(-(cuts - weights[f[0]]))), [1.0]])
+            total -= share[g] * math.log(p[g + 1] - p[g])
+        return total / len(grades)
+
+    best = loss(m.weights, m.thresholds)
+    for k in range(3):
+        for d in (-0.5, 0.5):
+            assert best < loss(m.weights + d * (np.arange(len(m.weights)) == k), m.thresholds) + 1e-3
+
+
 def test_quality(spark, docs):
     sf = "/root/testdata/sf0.1"
     labels = table(spark, sf, "labels")
     got = quality.quality_report(table(spark, sf, "documents"), labels).join(labels, "doc_id").where("held_out").toPandas()
     assert (got.keep == got.quality).mean() > 0.97 and got[got.quality == 1].keep.mean() > 0.98
     small = quality.quality_report(docs, table(spark, DATA, "labels")).collect()
-    assert len(small) == docs.count() and all(0 <= r.tail_probability <= 1 and 0 <= r.expected_grade <= 2 for r in small)
+    assert len(small) == docs.count() and all(0 <= r.tail_probability <= 1 and 0 <= r.expected_grade <= 1 for r in small)
     assert quality.quality_report(docs.limit(0), labels.limit(0)).count() == 0
 
 
