@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from docflow.llm import simhash
 from docflow.session import table
 
 DATA = "/root/testdata/sf0.001"
@@ -51,3 +52,52 @@ def test_rows_that_repeat_an_id_with_other_texts_stay(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = sorted((r.doc_id, r.text or "") for r in corpus_pipeline.drop_near_copies(spark, docs, DATA).collect())
     assert got == sorted([(1, a), (0, b), (3, c), (3, ""), (4, "")])
+
+
+def brute_kept(rows):
+    """Ids that stay of (id, text): the least of each group linked by a Jaccard of 0.8 over five-word shingles."""
+    def shingles(t):
+        w = t.encode().lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets, top = {i: shingles(t or "") for i, t in rows}, {i: i for i, _ in rows}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                top[y] = x
+    return {i for i in top if find(i) == i}
+
+
+def test_near_copies_equal_brute_force(spark):
+    """The table's own texts, and a crowd around one text that thins out below the limit."""
+    real = [(r.doc_id, r.text) for r in table(spark, DATA, "documents").select("doc_id", "text").collect()]
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    crowd = []
+    for k in range(120):
+        own = list(base)
+        for _ in range(k // 12):
+            own[rng.randrange(150)] = f"e{rng.randrange(10**6)}"
+        crowd.append((100_000 + k, " ".join(own)))
+    rows = real + crowd
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, DATA).collect()}
+    assert got == brute_kept(rows)
+
+
+def test_a_hot_bucket_of_unlike_texts_costs_no_square(spark):
+    """Texts that share a long passage and little else stay, and each is held against a fixed number of others."""
+    rng = random.Random(9)
+    say = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage = say(150)
+    rows = [(k, f"{say(30)} {passage} {say(30)}") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, DATA).collect()} == set(range(400))
+    assert sum(simhash.CENTRES) + simhash.SMALL < 40
