@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, drop_cut
 
 
 @dataclass
@@ -83,15 +83,29 @@ class OperatorGraph:
 
 
 class ResultCache:
-    """Results by content: operator, version and the plans it reads; written to the shared folder, least used dropped first."""
+    """Results by operator, version, the plans it reads and the files below them, by size and time.
+
+    They are written to the shared folder; the least used goes first, with its
+    files. A file that is written anew under its path has another key.
+    """
 
     def __init__(self, spark: SparkSession, most: int = 256):
         self.spark, self.most, self.held = spark, most, {}
 
     def key(self, op: Operator, context: dict[str, DataFrame]) -> str:
-        inputs = {n: context[n].semanticHash() for n in sorted(op.after) if n in context}
+        inputs = {n: [context[n].semanticHash(), self._files(context[n])] for n in sorted(op.after) if n in context}
         return hashlib.sha256(json.dumps([op.name, op.version, inputs], sort_keys=True).encode()).hexdigest()
 
+    def _files(self, df: DataFrame) -> list[tuple[str, int, int]]:
+        """(path, size, time) of the files that a plan reads; one entry per file, none of their rows."""
+        jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
+        out = []
+        for name in sorted(df.inputFiles()):
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            status = path.getFileSystem(conf).getFileStatus(path)
+            out.append((name, status.getLen(), status.getModificationTime()))
+        return out
+
     def get(self, key: str) -> DataFrame | None:
         found = self.held.pop(key, None)
         if found is not None:
@@ -100,7 +114,7 @@ class ResultCache:
 
     def put(self, key: str, df: DataFrame) -> DataFrame:
         while len(self.held) >= self.most:
-            self.held.pop(next(iter(self.held)))
+            drop_cut(self.held.pop(next(iter(self.held))))
         self.held[key] = cut(df, "result")
         return self.held[key]
 

@@ -267,3 +267,20 @@ def test_sections_of_any_depth(spark):
     rows = [(1, k, k + 1) for k in range(12)] + [(1, 12, 9), (1, 13, 1), (1, 14, 30)]
     got = {r.i: r.parent for r in windows.section_parents(spark.createDataFrame(rows, "d int, i int, level int"), "d", "i").collect()}
     assert got == {0: None} | {k: k - 1 for k in range(1, 12)} | {12: 7, 13: None, 14: 13}
+
+
+def test_results_follow_the_files_they_were_made_from(spark, tmp_path):
+    path = str(tmp_path / "source")
+    op = OperatorGraph().add("read", lambda c: spark.read.parquet(path)).add("sum", lambda c: c["read"].agg(F.sum("id").alias("s")), "read").operators["sum"]
+    cache = ResultCache(spark, most=1)
+
+    def total():
+        source = spark.read.parquet(path)
+        key = cache.key(op, {"read": source})
+        found = cache.get(key)
+        return (found is not None), one(found if found is not None else cache.put(key, source.agg(F.sum("id").alias("s")))).s
+
+    spark.range(5).write.parquet(path)
+    assert total() == (False, 10) and total() == (True, 10)
+    spark.range(9).write.mode("overwrite").parquet(path)
+    assert total() == (False, 36) and total() == (True, 36) and len(cache.held) == 1
