@@ -228,7 +228,7 @@ def test_sources(spark, tmp_path):
     with open(path, "w") as f:
         f.write('{"nodes":[{"id":"a"},{"id":"b"}],"edges":[{"src":"a","dst":"b"},{"src":"a","dst":"zz"}]}')
     assert [x.count() for x in blocks.read_graph(spark, path)] == [2, 1]
-    assert blocks.synthetic_corpus(spark, 4).where("doc_id = 3").orderBy("seq").first().text == "Abstract"
+    assert blocks.synthetic_corpus(spark, 4).where("doc_id = 3").orderBy("seq").first().text == "A Two-Column Study"
     rec = blocks.normalize_records(spark.createDataFrame([("t", -5.0)], "text string, w double")).first()
     assert (rec.x0, rec.x1, rec.y1) == (-5.0, 0.0, 14.0)
 
