@@ -892,4 +892,4 @@ def q_split_contents(t, spark):
     return annotate.split_contents(made)
 
 
-from . import queries_refine  # noqa: E402,F401  registers its queries here
+from . import queries_records, queries_refine  # noqa: E402,F401  register their queries here
