@@ -470,13 +470,20 @@ def q_paragraphs(t, spark):
     return windows.paragraphs(model.text_blocks(t("documents")))
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT user_id AS task, epoch_us(ts) / 1e6 AS sec, least(value, 100.0) AS real, row_number() OVER (PARTITION BY user_id ORDER BY ts, least(value, 100.0)) AS k FROM events WHERE value IS NOT NULL),
+s AS (SELECT task, k, sec, CASE WHEN real >= 100 THEN 100.0::DOUBLE ELSE greatest(0.0, real * (1 - pow(0.92, 1.0))) END AS shown FROM p WHERE k = 1
+UNION ALL SELECT p.task, p.k, p.sec, CASE WHEN real >= 100 THEN 100.0 ELSE greatest(shown, shown + (real - shown) * (1 - pow(0.92, greatest(1.0, (p.sec - s.sec) / 0.1)))) END FROM s JOIN p ON p.task = s.task AND p.k = s.k + 1)
+SELECT task, round(arg_max(shown, k), 6) AS shown FROM s GROUP BY task""")
 def q_smoothed(t, spark):
     p = t("events").where("value is not null").select(F.col("user_id").alias("task"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), F.least(F.col("value"), F.lit(100.0)).alias("real"))
     return windows.smoothed(p).select("task", F.round("shown", 6).alias("shown"))
 
 
-@query()
+@query(rf"""WITH RECURSIVE {BLOCKS}, x AS (SELECT doc_id, block_idx::BIGINT AS seq, (block_idx % 5 + 1) || '.' || (block_idx % 3) || ' ' || text AS t FROM blocks WHERE kind = 'heading'),
+e AS (SELECT doc_id, seq, CASE WHEN regexp_matches(trim(t), '^[0-9]+[.][0-9]+[ \t]') THEN regexp_extract(trim(t), '^([0-9]+[.][0-9]+)', 1) ELSE regexp_extract(t, '^([0-9]+)', 1) END AS number, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS k FROM x),
+s AS (SELECT doc_id, seq, k, number, [{{'seq': seq, 'number': number}}] AS stack, 0::BIGINT AS best FROM e WHERE k = 1
+UNION ALL SELECT doc_id, seq, k, number, stack[1:best] || [{{'seq': seq, 'number': number}}], best FROM (SELECT e.doc_id, e.seq, e.k, e.number, stack, coalesce(list_max(list_filter(range(1, len(stack) + 1), lambda i: starts_with(e.number, stack[i].number || '.'))), 0) AS best FROM s JOIN e ON e.doc_id = s.doc_id AND e.k = s.k + 1))
+SELECT doc_id, seq, number, CASE WHEN best > 0 THEN stack[best].seq END AS parent, best AS depth FROM s""")
 def q_outline(t, spark):
     e = classify.toc_entry(F.concat(((F.col("block_idx") % 5) + 1).cast("string"), F.lit("."), (F.col("block_idx") % 3).cast("string"), F.lit(" "), "text"))
     b = model.text_blocks(t("documents")).where("kind = 'heading'").withColumn("e", e)
@@ -614,7 +621,11 @@ def q_features(t, spark):
     return model.text_blocks(t("documents")).select("doc_id", "block_idx", F.round(f["digit_ratio"], 6).alias("digit_ratio"), F.round(f["capital_ratio"], 6).alias("capital_ratio"))
 
 
-@query()
+@query(rf"""WITH {LINES}, x AS (SELECT trim(text) AS t FROM lines), f AS (SELECT t, length(t) AS n, length(regexp_replace(t, '[-+*/=^_{{}}<>()~]', '', 'g')) AS plain, length(regexp_replace(t, '{classify.LEADER_CHARS}', '', 'g')) AS no_leader, length(regexp_replace(t, '[A-Za-z0-9À-ɏ]', '', 'g')) AS no_letter FROM x),
+r AS (SELECT CASE WHEN t = '' THEN 'unknown' WHEN regexp_matches(t, '^[0-9]{{1,4}}$') OR (regexp_matches(t, '(?i)^[ivxlcdm]+$') AND n <= 8) THEN 'page_number' WHEN (n - no_leader) / n >= 0.08 AND regexp_matches(t, '{classify.LEADER_LINE}') THEN 'toc_entry'
+WHEN regexp_matches(t, '(?i)^(figure|fig|table|tab)[ .:]*[0-9]+') AND n <= 200 THEN 'caption' WHEN regexp_matches(t, '^[-0-9 +*/=(){{}}^_\\<>,.~]+$') OR (n - plain >= 2 AND (n - no_letter) / n < 0.85) THEN 'formula'
+WHEN regexp_matches(t, '^([0-9]+([.][0-9]+)*|[A-Z]([.][0-9]+)*|[IVXLC]+[.]?|[0-9]+[.)])[ \t]+') THEN 'heading' WHEN regexp_matches(t, '(?i)^(\[[0-9]+|references?$|bibliography$)') THEN 'citation' ELSE 'body_text' END AS role FROM f)
+SELECT role, count(*) AS n FROM r GROUP BY role""")
 def q_roles(t, spark):
     b = model.text_blocks(t("documents")).withColumn("r", classify.role(F.col("text"), F.lit(1.0), F.lit(1)))
     return b.groupBy("r.role").agg(F.count("*").alias("n"))
@@ -632,18 +643,31 @@ def q_export_markdown(t, spark):
     return model.export_markdown(model.text_blocks(t("documents")))
 
 
-@query()
+@query(rf"""WITH d AS (SELECT doc_id, text, string_split(text, '.') AS l FROM documents WHERE text <> ''),
+p AS (SELECT doc_id, unnest(l) AS part, generate_subscripts(l, 1) AS k, len(l) AS n, l FROM d),
+e AS (SELECT doc_id, k, n, part, k < n AND (regexp_matches(l[k + 1], '^\s') OR (k + 1 = n AND l[n] = '')) AS dot, right(array_to_string(l[greatest(1, k - 12):k], '.'), 12) AS tail FROM p),
+w AS (SELECT *, CASE WHEN regexp_matches(tail, '\s$') OR tail = '' THEN regexp_extract(tail, '(\S*)\s*$', 1) ELSE regexp_extract(tail, '(\S+)$', 1) END AS word FROM e),
+b AS (SELECT doc_id, k, n, part, dot AND NOT (lower(ltrim(word, '([')) IN {words.ABBREVIATIONS} OR regexp_matches(ltrim(word, '(['), '^\p{{L}}$')) AS ends FROM w),
+g AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM b),
+t AS (SELECT doc_id, s, regexp_replace(string_agg(part || CASE WHEN k < n THEN '.' ELSE '' END, '' ORDER BY k), '^\s+|\s+$', '', 'g') AS sentence FROM g GROUP BY doc_id, s)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS seq, sentence FROM t WHERE sentence <> ''""")
 def q_sentences(t, spark):
     return t("documents").select("doc_id", F.posexplode(words.sentences("text")).alias("seq", "sentence"))
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT doc_id, unnest(l) AS part, generate_subscripts(l, 1) AS k FROM (SELECT doc_id, list_filter(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)), lambda x: trim(x) <> '') AS l FROM documents)),
+n AS (SELECT doc_id, k, part, length(part) AS n FROM p),
+s AS (SELECT doc_id, k, 0::BIGINT AS seq, n FROM n WHERE k = 1 UNION ALL SELECT n.doc_id, n.k, CASE WHEN s.n + n.n + 2 <= 2000 THEN seq ELSE seq + 1 END, CASE WHEN s.n + n.n + 2 <= 2000 THEN s.n + n.n + 2 ELSE n.n END FROM s JOIN n ON n.doc_id = s.doc_id AND n.k = s.k + 1)
+SELECT doc_id, seq, string_agg(part, chr(10) || chr(10) ORDER BY k) AS chunk FROM s JOIN p USING (doc_id, k) GROUP BY doc_id, seq""")
 def q_chunks(t, spark):
     joined = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
     return t("documents").select("doc_id", F.posexplode(words.chunks(joined)).alias("seq", "chunk"))
 
 
-@query()
+@query("""WITH RECURSIVE w AS (SELECT item_id, unnest(l) AS word, generate_subscripts(l, 1) AS k FROM (SELECT item_id, list_filter(string_split(text, ' '), lambda x: x <> '') AS l FROM benchmark)),
+s AS (SELECT item_id, k, 0::BIGINT AS line, word AS text FROM w WHERE k = 1
+UNION ALL SELECT w.item_id, w.k, CASE WHEN length(s.text) + 1 + length(word) <= 40 THEN line ELSE line + 1 END, CASE WHEN length(s.text) + 1 + length(word) <= 40 THEN s.text || ' ' || word ELSE word END FROM s JOIN w ON w.item_id = s.item_id AND w.k = s.k + 1)
+SELECT item_id, line, arg_max(text, k) AS text FROM s GROUP BY item_id, line""")
 def q_wrap(t, spark):
     return t("benchmark").select("item_id", F.posexplode(words.wrap(F.col("text"), 40)).alias("line", "text"))
 
@@ -780,12 +804,21 @@ def q_incremental_plan(t, spark):
     return incremental_plan(changes, {"added": "parse", "updated": "plan", "removed": "layout"})
 
 
-@query()
+@query(f"""WITH RECURSIVE {BOXES}, r AS (SELECT *, []::BIGINT[] AS path, 0 AS depth FROM boxes
+UNION ALL SELECT page, seq, x0, y0, x1, y1, list_append(path, CASE WHEN nx > 0 THEN px ELSE py END::BIGINT), depth + 1 FROM (SELECT *, max(px) OVER (PARTITION BY page, path) AS nx, max(py) OVER (PARTITION BY page, path) AS ny FROM (SELECT *,
+  sum(sx) OVER (PARTITION BY page, path ORDER BY x0, x1, seq ROWS UNBOUNDED PRECEDING) AS px, sum(sy) OVER (PARTITION BY page, path ORDER BY y0, y1, seq ROWS UNBOUNDED PRECEDING) AS py FROM (SELECT *,
+  CASE WHEN x0 > max(x1) OVER (PARTITION BY page, path ORDER BY x0, x1, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS sx, CASE WHEN y0 > max(y1) OVER (PARTITION BY page, path ORDER BY y0, y1, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS sy FROM r))) WHERE nx > 0 OR ny > 0),
+d AS (SELECT page, seq, y0, x0, arg_max(path, depth) AS path FROM r GROUP BY page, seq, y0, x0)
+SELECT page, seq, row_number() OVER (PARTITION BY page ORDER BY path, y0, x0, seq) - 1 AS position FROM d""")
 def q_reading_order(t, spark):
     return layout.reading_order(boxes(t))
 
 
-@query()
+@query(f"""WITH RECURSIVE {BOXES}, o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY y0, x0, seq) AS k FROM boxes),
+s AS (SELECT page, seq, k, y0 AS was, {{'y0': y0, 'x0': x0, 'x1': x1, 'y1': y1}} AS box, [{{'y0': y0, 'x0': x0, 'x1': x1, 'y1': y1}}] AS done FROM o WHERE k = 1
+UNION ALL SELECT page, seq, k, was, box, list_append(done, box) FROM (SELECT o.page, o.seq, o.k, o.y0 AS was, done, list_reduce(list_sort(done), lambda a, d: CASE WHEN d.x0 < a.x1 AND a.x0 < d.x1 AND a.y0 < d.y1 + 2 AND d.y0 < a.y1 + 2 THEN {{'y0': d.y1 + 2, 'x0': a.x0, 'x1': a.x1, 'y1': d.y1 + 2 + a.y1 - a.y0}} ELSE a END,
+  {{'y0': o.y0, 'x0': o.x0, 'x1': o.x1, 'y1': o.y1}}) AS box FROM s JOIN o ON o.page = s.page AND o.k = s.k + 1))
+SELECT page, seq, box.y0 AS y0, box.y1 AS y1, box.y0 - was AS moved FROM s""")
 def q_resolve_collisions(t, spark):
     return layout.resolve_collisions(boxes(t))
 
@@ -886,7 +919,8 @@ def q_estimate(t, spark):
     return b.select("doc_id", "block_idx", F.round("v", 6).alias("confidence"), annotate.model_for(F.lit(False), F.lit("generic"), F.col("v")).alias("model"))
 
 
-@query()
+@query(rf"""WITH {BLOCKS}, p AS (SELECT doc_id, block_idx, unnest(l) AS text, generate_subscripts(l, 1) AS k FROM (SELECT doc_id, block_idx, string_split(regexp_replace('1.1 A .... 3 1.2 B .... 4 ' || text, '([.]{{2,}} *[0-9]{{1,4}}) +', '\1' || chr(10), 'g'), chr(10)) AS l FROM blocks WHERE kind = 'heading'))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY block_idx, k) - 1 AS block_idx, text, CASE WHEN regexp_matches(text, '[.]{{2,}} *[0-9]{{1,4}}$') THEN 'toc' ELSE 'paragraph' END AS kind FROM p""")
 def q_split_contents(t, spark):
     made = model.text_blocks(t("documents")).where("kind = 'heading'").withColumn("text", F.concat(F.lit("1.1 A .... 3 1.2 B .... 4 "), "text"))
     return annotate.split_contents(made)
