@@ -132,6 +132,13 @@ def parse_query(text: str, nodes: DataFrame, id: str = "id", type: str = "node_t
     return query
 
 
+def having(nodes: DataFrame, **properties) -> DataFrame:
+    """Nodes whose properties have these values; a value of None asks for null."""
+    for name, value in properties.items():
+        nodes = nodes.where(F.col(name).eqNullSafe(F.lit(value)))
+    return nodes
+
+
 def in_range(nodes: DataFrame, prop: str, lo, hi) -> DataFrame:
     return nodes.where(F.col(prop).between(lo, hi))
 

@@ -155,7 +155,7 @@ def q_range(t, spark):
 
 @query("SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_nationkey = 7")
 def q_find(t, spark):
-    return t("supplier").where("s_nationkey = 7").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    return graph_query.having(t("supplier"), s_nationkey=7).select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
 
 
 @query("SELECT s_suppkey AS id, round(abs(s_acctbal - 2500), 6) AS distance FROM supplier WHERE s_acctbal IS NOT NULL ORDER BY abs(s_acctbal - 2500), s_suppkey LIMIT 10")
@@ -926,4 +926,4 @@ def q_split_contents(t, spark):
     return annotate.split_contents(made)
 
 
-from . import queries_records, queries_refine  # noqa: E402,F401  register their queries here
+from . import queries_records, queries_refine, queries_views  # noqa: E402,F401  register their queries here
