@@ -63,9 +63,13 @@ def drop_cut(df: DataFrame) -> None:
         target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Let Python workers take ``rows`` rows at a time, so that long texts do not fill their memory."""
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 32 * 1024 * 1024) -> None:
+    """Let Python workers take at most ``rows`` rows and some ``size`` bytes at a time, so that long texts do not fill their memory.
+
+    A row longer than that is a batch of its own.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
