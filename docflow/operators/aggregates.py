@@ -98,8 +98,8 @@ def stage_breakdown(tasks: DataFrame, stage: str, state: str, weight: str, done:
 
 
 def preservation(source: Column, target: Column) -> Column:
-    """Share of ``source`` that ``target`` keeps, between 0 and 1; 1 where there was nothing."""
-    return F.when(source == 0, 1.0).otherwise(F.least(F.lit(1.0), target / source))
+    """Share of ``source`` that ``target`` keeps, up to 1; where there was nothing, 1 if nothing came and 0.5 if something did."""
+    return F.when(source <= 0, F.when(target <= 0, 1.0).otherwise(0.5)).otherwise(F.least(F.lit(1.0), target / source))
 
 
 def calibrate(samples: DataFrame, value: str, label: str, grid: list[float]) -> DataFrame:

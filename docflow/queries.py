@@ -926,4 +926,4 @@ def q_split_contents(t, spark):
     return annotate.split_contents(made)
 
 
-from . import queries_records, queries_refine, queries_views  # noqa: E402,F401  register their queries here
+from . import queries_evaluate, queries_records, queries_refine, queries_views  # noqa: E402,F401  register their queries here

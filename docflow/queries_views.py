@@ -68,7 +68,7 @@ def q_glossary_violations(t, spark):
     return annotate.glossary_violations(p, "The", "and")
 
 
-@query("SELECT p_partkey, round(CASE WHEN p_size % 7 = 0 THEN 1.0 ELSE least(1.0, (p_size % 5) / (p_size % 7)) END, 6) AS kept FROM part")
+@query("SELECT p_partkey, round(CASE WHEN p_size % 7 = 0 THEN CASE WHEN p_size % 5 = 0 THEN 1.0 ELSE 0.5 END ELSE least(1.0, (p_size % 5) / (p_size % 7)) END, 6) AS kept FROM part")
 def q_preservation(t, spark):
     return t("part").select("p_partkey", F.round(aggregates.preservation(F.col("p_size") % 7, F.col("p_size") % 5), 6).alias("kept"))
 
