@@ -127,9 +127,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Bands of a signature and least hashes in a band. A pair of similarity s shares a band with probability
 #: 1 - (1 - s^ROWS)^BANDS, whatever the number of texts: 0.999 at 0.80.
 BANDS, ROWS = 50, 9
-#: Centres of a bucket in each round that holds its members against some of them, and the members of a bucket whose
+#: Centres of a bucket in each round that holds its members against some of them (few first: what a round joins, the
+#: next ones need not look at), and the members of a bucket whose
 #: pairs are all looked at in the last round. So a row meets a fixed number of others, however large its bucket is.
-CENTRES, SMALL = (1, 8, 8), 16
+CENTRES, SMALL = (1, 4, 4, 8), 16
 
 
 def _factors(n: int) -> tuple[np.ndarray, np.ndarray]:
