@@ -41,6 +41,38 @@ def post_process(text: Column) -> Column:
     return out
 
 
+#: Letters that Spark's Unicode gives a capital and DuckDB's does not yet.
+NEWER = "\u019b\u0264\u1c8a\ua7cd\ua7db" + "".join(map(chr, range(0x10D70, 0x10D86)))
+
+
+def _single_capitals() -> dict[str, str]:
+    """Letters with a capital of several letters, and the single one that stands for it, else themselves."""
+    full = [c for c in map(chr, range(0x110000)) if len(c.upper()) > 1]
+    return {c: c.title() if len(c.title()) == 1 else c for c in full} | {"ß": "ẞ"} | {c: c for c in NEWER}
+
+
+SINGLE_CAPITALS = _single_capitals()
+
+
+def _ranges(letters) -> str:
+    """The letters as the inside of a regular expression's class, runs of neighbours as ranges."""
+    points, out = sorted(map(ord, letters)), []
+    for p in points:
+        if out and out[-1][1] == p - 1:
+            out[-1][1] = p
+        else:
+            out.append([p, p])
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in out)
+
+
+def upper_each(text: Column) -> Column:
+    """Upper case letter by letter, as DuckDB's ``upper``: no letter becomes two (ß is ẞ, where Spark's ``upper`` writes SS)."""
+    these = _ranges(SINGLE_CAPITALS)
+    runs = F.regexp_extract_all(text, F.lit(f"[{these}]+|[^{these}]+"), F.lit(0))
+    single = F.array_join(F.transform(runs, lambda run: F.when(run.rlike(f"^[{these}]"), F.translate(run, "".join(SINGLE_CAPITALS), "".join(SINGLE_CAPITALS.values()))).otherwise(F.upper(run))), "")
+    return F.when(text.rlike(f"[{these}]"), single).otherwise(F.upper(text))
+
+
 def entity_key(name: Column) -> Column:
     return F.translate(F.lower(F.trim(name)), " -", "__")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .functions.text import upper_each
 from .operators import diff, records, render
 from .queries import BLOCKS, BOXES, GEO, PAIRS, WORDSET, boxes, geo_graph, pairs, query
 from .sources import blocks as model
@@ -134,7 +135,7 @@ SELECT item_id, sha256(text) AS hash, coalesce(output, upper(text)) AS output, C
 def q_replay(t, spark):
     b = t("benchmark")
     memo = b.where("item_id % 2 = 0").select(F.sha2("text", 256).alias("hash"), F.concat(F.lit("memo "), F.col("item_id").cast("string")).alias("output"))
-    return records.replay(b, memo, F.upper).select("item_id", "hash", "output", "source")
+    return records.replay(b, memo, upper_each).select("item_id", "hash", "output", "source")
 
 
 @query("""WITH a AS (SELECT lang || '-' || (doc_id % 50) AS stem, source AS stage, md5(string_agg(text, '' ORDER BY doc_id)) AS hash FROM documents GROUP BY 1, 2),

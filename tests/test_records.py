@@ -1,8 +1,10 @@
 """Records, rendering and snapshots on small tables whose results are known."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from docflow import queries
 from docflow.operators import graph_query, records, render
 from docflow.plans.snapshots import CostRegistry, SnapshotStore, Transaction, files
 
@@ -39,6 +41,18 @@ def test_replay_runs_only_what_the_memo_lacks(spark):
     assert got == {1: ("known", "memo"), 2: ("B", "run"), 3: (None, "run")}
 
 
+def test_replay_query_equals_its_sql_on_any_letter(spark, tmp_path):
+    """Letters whose capital is two letters, as in the German items of sf0.1, and every other code point, also in runs."""
+    every = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["Straße\nẞß ﬁnd ŉ", "ᾳß", "", None, "memo", *("".join(every[k : k + 4096]) for k in range(0, len(every), 4096))]
+    path = str(tmp_path / "benchmark.parquet")
+    spark.createDataFrame([(2 * k + 1, t) for k, t in enumerate(texts)] + [(8, "memo"), (10, "memo")], "item_id bigint, text string").coalesce(1).write.parquet(path)
+    got = {tuple(r) for r in queries.QUERIES["q_replay"](spark, str(tmp_path)).select("item_id", "hash", "output", "source").collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW benchmark AS SELECT * FROM '{path}/*.parquet'")
+    assert got == set(con.execute(f"SELECT item_id, hash, output, source FROM ({queries.ORACLE['q_replay']})").fetchall())
+
+
 def test_regression_needs_every_stage(spark):
     base = spark.createDataFrame([("a", "s1", "x"), ("a", "s2", "y"), ("b", "s1", "x")], "stem string, stage string, hash string")
     now = spark.createDataFrame([("a", "s1", "x"), ("b", "s1", "x"), ("c", "s1", "z")], base.schema)
