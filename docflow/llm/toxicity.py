@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import forget
 from .common import PUNCTUATION, chunks, hash_words, labelled_sample, mix
 
 BITS = 21
@@ -119,7 +120,10 @@ def fit(
     for texts, values in labelled_sample(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), marked, "text", max_rows, max_chars, max_total):
         examples += [f for _, part in chunks(texts) for f in presence(part)]
         answers += values
-    return ftrl(examples, answers)
+    model = ftrl(examples, answers)
+    del examples
+    forget(docs.sparkSession)
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:

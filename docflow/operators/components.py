@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..session import cut, drop_cut
@@ -29,9 +29,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     before = None
     for _ in range(max_rounds):
         large = _star(pairs.union(pairs.select("b", "a")), large=True)
-        small = cut(_star(large, large=False), "stars")
-        # Converged once no pair changed: count and order-free digest.
-        now = tuple(small.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
+        # Converged once no pair changed: count and order-free digest, taken while the pairs are written.
+        seen, h = Observation(), F.xxhash64("a", "b")
+        digest = F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)).alias("s")
+        small = cut(_star(large, large=False).observe(seen, *digest), "stars")
+        now = tuple(seen.get[k] for k in "nxs")
         drop_cut(pairs)
         pairs = small
         if now == before:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -63,6 +66,14 @@ def drop_cut(df: DataFrame) -> None:
         target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
+def forget(spark: SparkSession) -> None:
+    """Let the driver give up plans, shuffles and memory that nothing uses any more, which a loop of many small plans gathers."""
+    gc.collect()
+    spark._jvm.System.gc()
+    with contextlib.suppress(AttributeError, OSError):  # glibc alone keeps freed blocks, and has the call to return them
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Let Python workers take ``rows`` rows at a time, so that long texts do not fill their memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
