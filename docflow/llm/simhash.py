@@ -10,8 +10,9 @@ instead of to each other, so no bucket makes a quadratic number of rows.
 * :func:`fingerprints` - 64-bit SimHash of shingles, repeats included.
 * :func:`near_components` - groups of fingerprints linked at 2 or fewer bits.
 * :func:`similar_components` - groups of texts linked at a word-shingle
-  similarity of 0.8 or more, where 64-bit fingerprints differ in too many bits
-  for balls: candidates share a band of least hashes and are verified whole.
+  similarity of 0.8 or more: candidates that the balls link, then, where
+  fingerprints differ in too many bits for balls, candidates that share a band
+  of least hashes, all verified whole.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..session import cut, drop_cut
+from ..session import cut, drop_cut, forget
 from .common import ascii_words, chunks, hash_words, mix, ngrams
 
 SHINGLE_SEED = 42
@@ -41,7 +42,11 @@ def _votes(h: np.ndarray) -> np.ndarray:
 
 def simhash(text: str | None, n: int = WORDS_PER_SHINGLE) -> int:
     """Unsigned 64-bit fingerprint; 0 for a null, empty or blank text."""
-    words = ascii_words(text)
+    return simhash_of_words(ascii_words(text), n)
+
+
+def simhash_of_words(words: list[bytes], n: int = WORDS_PER_SHINGLE) -> int:
+    """The fingerprint of a text by its words; 0 for none."""
     if not words:
         return 0
     n = min(n, len(words))
@@ -88,12 +93,16 @@ def near_components(fps: DataFrame, id: str = "doc_id", fp: str = "fp", max_bits
     reachable. Rows with a null id are ignored. An empty table gives no rows.
     """
     distinct = cut(fps.where(F.col(id).isNotNull()).groupBy(F.col(fp).alias("fp")).agg(F.min(id).alias("rep")), "fps")
-    links = bucket_links(distinct.select("rep", "fp", F.explode(variants(F.col("fp"), 64, max_bits // 2)).alias("key")), ["fp"])
-    links = links.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("c_fp"))) <= max_bits)
-    parts = connected_components(links, "rep", "c_rep")
+    parts = connected_components(ball_links(distinct, max_bits), "rep", "c_rep")
     return distinct.join(parts, distinct.rep == parts.id, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
 
 
+def ball_links(distinct: DataFrame, max_bits: int = 2) -> DataFrame:
+    """Links (rep, fp, c_rep, c_fp) that join the distinct fingerprints (rep, fp) which differ in ``max_bits`` or fewer bits."""
+    links = bucket_links(distinct.select("rep", "fp", F.explode(variants(F.col("fp"), 64, max_bits // 2)).alias("key")), ["fp"])
+    return links.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("c_fp"))) <= max_bits)
+
+
 def bucket_links(emitted: DataFrame, carried: list[str]) -> DataFrame:
     """Links each row ``(key, rep, *carried)`` to the row of least ``rep`` with its key."""
     least = F.min(F.struct("rep", *carried)).over(_by_key())
@@ -184,37 +193,40 @@ def jaccard(x: np.ndarray, y: np.ndarray, least: float = 0.0) -> float:
 
 
 def signatures(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows ``(id, same, keys)`` of the texts with words: a digest of the word sequence, and a key for each band."""
+    """Rows ``(id, same, fp, keys)`` of the texts with words: a digest of the word sequence, its SimHash, and a key for each band."""
 
-    @F.pandas_udf("struct<same:binary,keys:array<bigint>>")
+    @F.pandas_udf("struct<same:binary,fp:bigint,keys:array<bigint>>")
     def of(texts: pd.Series) -> pd.DataFrame:
-        same, keys = [], []
+        same, fp, keys = [], [], []
         for _, part in chunks(texts):
             words = [ascii_words(t) for t in part]
+            fp += [simhash_of_words(w) for w in words]
             same += [xxhash.xxh3_128_digest(b" ".join(w)) if w else None for w in words]
             full = [t for t, w in zip(part, words) if w]
             found = iter(band_keys(least_hashes(*hash_words(full)))) if full else iter(())
             keys += [next(found) if w else None for w in words]
-        return pd.DataFrame({"same": same, "keys": keys})
+        return pd.DataFrame({"same": same, "fp": np.array(fp, dtype=np.uint64).view(np.int64), "keys": keys})
 
-    return docs.select(F.col(id).alias("id"), of(F.col(text)).alias("s")).select("id", "s.same", "s.keys").where("same is not null")
+    return docs.select(F.col(id).alias("id"), of(F.col(text)).alias("s")).select("id", "s.same", "s.fp", "s.keys").where("same is not null")
 
 
 def similar_components(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """Rows ``(id, component)``, one for each text with words; ``component`` is the least id reachable.
 
     Near copies have ``similarity`` or more of their distinct five-word shingles
-    in common (Jaccard, by 32-bit hashes). Texts that share a band of least
-    hashes are candidates, and a candidate pair is verified on its whole shingle
-    sets. Equal word sequences are merged first. Blank texts have no row. ``id``
-    must be unique and not null.
-
-    Members of a bucket are held against centres of it: in the first round
-    against the member of least id, in each further one, where links do not join
-    all of a bucket yet, against ``CENTRES`` others that a hash draws. In the
-    last round, all pairs of the buckets of at most ``SMALL`` members are looked
-    at. A text of one word or a very long one is a text like any other; an empty
-    table gives no rows.
+    in common (Jaccard, by 32-bit hashes). Equal word sequences are merged first.
+    Then texts whose SimHashes are linked by balls, as in
+    :func:`near_components`, are candidates, and after them texts that share a
+    band of least hashes, for the near copies whose SimHashes differ in more
+    bits. A candidate pair is verified on its whole shingle sets. Blank texts
+    have no row. ``id`` must be unique and not null.
+
+    Members of a bucket of bands that links do not join yet are held against
+    centres of it: in the first round against the member of least id, in each
+    further one against ``CENTRES`` others that a hash draws. In the last round,
+    all pairs of the buckets of at most ``SMALL`` members are looked at. A text
+    of one word or a very long one is a text like any other; an empty table
+    gives no rows.
     """
 
     @F.pandas_udf("binary")
@@ -230,11 +242,14 @@ def similar_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
         return pd.Series([jaccard(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), similarity) >= similarity for x, y in zip(a, b)], dtype=bool)
 
     known = cut(signatures(docs, id, text), "words")
-    heads = cut(known.groupBy("same").agg(F.min("id").alias("rep")), "heads")
+    heads = cut(known.groupBy("same").agg(F.min("id").alias("rep"), F.min("fp").alias("fp")), "heads")
+    least = cut(heads.groupBy("fp").agg(F.min("rep").alias("rep")), "fps")
+    alike = heads.join(least.withColumnRenamed("rep", "c_rep"), "fp").where("rep <> c_rep").select("rep", "c_rep")
+    balls = cut(alike.unionByName(ball_links(least).select("rep", "c_rep")), "balls")
     emitted = known.join(heads.select(F.col("rep").alias("id")), "id", "left_semi").select(F.col("id").alias("rep"), F.explode("keys").alias("key"))
     shared = emitted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     waiting = cut(emitted.join(shared, "key").select("key", "rep", F.col("rep").alias("part"), "n"), "buckets")
-    wanted = waiting.select("rep").distinct()
+    wanted = waiting.select("rep").union(balls.select("rep")).union(balls.select("c_rep")).distinct()
     sets = cut(docs.select(F.col(id).alias("rep"), F.col(text).alias("text")).join(wanted, "rep", "left_semi").select("rep", set_of("text").alias("set")), "sets")
 
     def links(pairs: DataFrame) -> DataFrame:
@@ -244,19 +259,28 @@ def similar_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
         near = own.join(centre, "c_rep").where(verified("set", "c_set"))
         return near.select(F.greatest("part", "c_part").alias("part"), F.least("part", "c_part").alias("c_part")).distinct()
 
-    steps: list[DataFrame] = []
+    def joined(pairs: DataFrame) -> DataFrame:
+        """Rows (id, component) of the parts that near copies among the pairs join."""
+        found = cut(links(pairs), "links")
+        parts = cut(connected_components(found, "part", "c_part"), "parts")
+        drop_cut(found)
+        forget(docs.sparkSession)
+        return parts
+
+    steps = [joined(balls.select("rep", F.col("rep").alias("part"), "c_rep", F.col("c_rep").alias("c_part")))]
+    drop_cut(balls)
+    drop_cut(least)
     for turn, many in enumerate(CENTRES):
-        if turn:
-            # Labels move on to the joined parts; a bucket that one part fills is done.
-            moved = waiting.join(steps[-1], waiting.part == steps[-1].id, "left").select("key", "rep", F.coalesce("component", "part").alias("part"), "n")
-            moved = cut(moved, "moved")
-            mixed = moved.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
-            left = cut(moved.join(mixed, "key", "left_semi"), "mixed")
-            drop_cut(moved)
-            drop_cut(waiting)
-            waiting = left
-            if not waiting.take(1):
-                break
+        # Labels move on to the joined parts; a bucket that one part fills is done.
+        moved = waiting.join(steps[-1], waiting.part == steps[-1].id, "left").select("key", "rep", F.coalesce("component", "part").alias("part"), "n")
+        moved = cut(moved, "moved")
+        mixed = moved.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
+        left = cut(moved.join(mixed, "key", "left_semi"), "mixed")
+        drop_cut(moved)
+        drop_cut(waiting)
+        waiting = left
+        if not waiting.take(1):
+            break
         last = turn == len(CENTRES) - 1
         large = waiting.where(F.col("n") > SMALL) if last else waiting
         order = F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep")
@@ -268,10 +292,8 @@ def similar_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
             few = waiting.where(F.col("n") <= SMALL)
             other = few.select("key", F.col("rep").alias("c_rep"), F.col("part").alias("c_part"))
             pairs = pairs.unionByName(few.join(other, "key").where("c_rep < rep and part <> c_part").select("rep", "part", "c_rep", "c_part"))
-        found = cut(links(pairs), "links")
-        steps.append(cut(connected_components(found, "part", "c_part"), "parts"))
+        steps.append(joined(pairs))
         drop_cut(centres)
-        drop_cut(found)
     drop_cut(waiting)
     drop_cut(sets)
     out = heads.withColumn("component", F.col("rep"))

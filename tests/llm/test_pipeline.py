@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -101,3 +102,27 @@ def test_a_hot_bucket_of_unlike_texts_costs_no_square(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, DATA).collect()} == set(range(400))
     assert sum(simhash.CENTRES) + simhash.SMALL < 40
+
+
+def test_near_copies_are_found_by_their_simhashes(spark, monkeypatch):
+    """Without any shared band, texts whose SimHashes differ in 2 or fewer bits are joined if they are alike, and only then."""
+    rng = random.Random(12)
+    say = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    near = []
+    while len(near) < 5:
+        a = say(400)
+        b = a.replace(a.split()[200], "edited", 1)
+        if bin(simhash.simhash(a) ^ simhash.simhash(b)).count("1") in (1, 2):
+            near.append((a, b))
+    refrain = "la li lu " * 400
+    unlike = [refrain + say(40), refrain + say(40)]
+    assert bin(simhash.simhash(unlike[0]) ^ simhash.simhash(unlike[1])).count("1") <= 2
+    rows = [(10 * k + m, t) for k, pair in enumerate([*near, unlike]) for m, t in enumerate(pair)]
+
+    def no_band_in_common(least, bands=simhash.BANDS):
+        return np.random.default_rng().integers(0, 1 << 62, (len(least), bands))
+
+    monkeypatch.setattr(simhash, "band_keys", no_band_in_common)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, DATA).collect()}
+    assert got == {0, 10, 20, 30, 40, 50, 51}
