@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..session import cut, drop_cut
+from ..session import cut, drop_cut, forget
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -25,17 +25,14 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct()
     )
-    pairs = cut(pairs, "edges")
-    before = None
+    pairs, before = _cut(pairs, "edges")
     for _ in range(max_rounds):
         large = _star(pairs.union(pairs.select("b", "a")), large=True)
-        # Converged once no pair changed: count and order-free digest, taken while the pairs are written.
-        seen, h = Observation(), F.xxhash64("a", "b")
-        digest = F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)).alias("s")
-        small = cut(_star(large, large=False).observe(seen, *digest), "stars")
-        now = tuple(seen.get[k] for k in "nxs")
+        small, now = _cut(_star(large, large=False), "stars")
         drop_cut(pairs)
         pairs = small
+        forget(pairs.sparkSession)
+        # Converged once no pair changed, from the edges on: those that are stars already take one round.
         if now == before:
             break
         before = now
@@ -45,6 +42,14 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     return pairs.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots)
 
 
+def _cut(pairs: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+    """The pairs, cut, with their count and order-free digest, taken while they are written."""
+    seen, h = Observation(), F.xxhash64("a", "b")
+    digest = F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)).alias("s")
+    out = cut(pairs.observe(seen, *digest), name)
+    return out, tuple(seen.get[k] for k in "nxs")
+
+
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
     """One star step on pairs (a, b), each neighbour of a node moves to the node's least neighbour."""
     least = pairs.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))

@@ -8,6 +8,7 @@ import gc
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -72,6 +73,19 @@ def forget(spark: SparkSession) -> None:
     spark._jvm.System.gc()
     with contextlib.suppress(AttributeError, OSError):  # glibc alone keeps freed blocks, and has the call to return them
         ctypes.CDLL(None).malloc_trim(0)
+    with contextlib.suppress(Py4JError):  # the same for the JVM's own blocks; an older or other JVM has no such command
+        trim_jvm(spark)
+
+
+def trim_jvm(spark: SparkSession) -> str:
+    """Let the driver's JVM return the blocks outside its heap that it has freed; what it says of them."""
+    jvm = spark._jvm
+    beans = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    # By reflection, as the server's class is hidden and its interface is not.
+    call = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+    given = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+    given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    return call.invoke(beans, given)
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -6,7 +6,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from docflow import session
 from docflow.llm import simhash
+from docflow.operators import components
 from docflow.session import table
 
 DATA = "/root/testdata/sf0.001"
@@ -126,3 +128,25 @@ def test_near_copies_are_found_by_their_simhashes(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, DATA).collect()}
     assert got == {0, 10, 20, 30, 40, 50, 51}
+
+
+def test_components_take_no_spare_round_and_give_memory_back_in_each(spark, monkeypatch):
+    """Stars settle in one round, chains and an empty table as union-find has them; the driver is cleared after every round."""
+    cuts, cleared = [], []
+    monkeypatch.setattr(components, "cut", lambda df, name, f=components.cut: cuts.append(name) or f(df, name))
+    monkeypatch.setattr(components, "forget", lambda s: cleared.append(s))
+    for edges, settled, rounds in (
+        ([(1, 2), (1, 3), (7, 8)], {1: 1, 2: 1, 3: 1, 7: 7, 8: 7}, 1),
+        ([(k, k + 1) for k in range(40)], dict.fromkeys(range(41), 0), None),
+        ([], {}, 1),
+    ):
+        cuts.clear(), cleared.clear()
+        got = components.connected_components(spark.createDataFrame(edges, "src bigint, dst bigint"))
+        assert {r.id: r.component for r in got.collect()} == settled
+        assert cuts.count("stars") == len(cleared) == (rounds or len(cleared)) > 0
+
+
+def test_the_driver_returns_what_its_jvm_has_freed(spark):
+    """The blocks outside the JVM's heap go back to the system, where the JVM has the command."""
+    assert "RSS" in session.trim_jvm(spark)
+    session.forget(spark)
